@@ -8,13 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, mixing, packing, quality
-from .common import read
+from . import html_extract, linededup, minhash, mixing, packing, pii, quality, search, token_rollup, warc
+from .common import read, scratch_path
 
 TOKENIZER_JSON = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Production passes a secret of its own; a fixed one makes the query repeatable.
+PSEUDONYM_KEY = "plumbline"
+TOKENIZER = "byte_bpe_50k"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.read_archive(spark, path)
+
+
+def op3_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return search.search_like(docs, docs.filter("doc_id % 50 = 0"))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -31,12 +55,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).drop("text_hash", "host")
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads every document with an estimated count, revises it to the tokenizer's, and sends both batches twice."""
+    docs = read(spark, sf_dir, "documents").withColumn("before", F.floor(F.length("text") / 4).cast("long"))
+    loaded = docs.select("source", "lang", F.lit(TOKENIZER).alias("tokenizer"), F.lit("insert").alias("op"), F.col("before").alias("n_tokens"), F.lit(None).cast("long").alias("before"))
+    counted = token_rollup.count_tokens(docs, TOKENIZER_JSON, TOKENIZER_RANKS, public_tokenizers.PATTERN)
+    revised = counted.withColumn("tokenizer", F.lit(TOKENIZER)).withColumn("op", F.lit("revise"))
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "rollup"))
+    for batch, changes in [("load-1", loaded), ("revise-1", revised), ("load-1", loaded), ("revise-1", revised)]:
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER_JSON, TOKENIZER_RANKS, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_minhash_near_dedup, op6_line_dedup, op7_source_mixing, op8_quality_rules, op10_harmonic_packing]
+    found = [op1_feistel_pseudonyms, op2_warc_archive, op3_bm25_search, op4_html_main_text, op5_minhash_near_dedup, op6_line_dedup, op7_source_mixing, op8_quality_rules, op9_token_rollup, op10_harmonic_packing]
     return {f.__name__: f for f in found}
 
 
@@ -80,5 +116,36 @@ SELECT *, NOT base_failed AND 100 * n_removed_words <= {quality.DEPLETED_PERCENT
 """
 
 
+_FIVE_BITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[{c + 1}] >> {35 - 5 * j}) & 31)::INT + 1, 1)" for c in range(4) for j in range(8))
+_CHUNKS = ", ".join(f"('0x' || h[{10 * c + 1}:{10 * c + 10}])::BIGINT" for c in range(4))
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS last FROM p),
+n AS (SELECT *, [{_CHUNKS}] AS v FROM d)
+SELECT page_id, payload_bytes, {_FIVE_BITS} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, true AS verified
+FROM n
+"""
+
+NEAR_DEDUP_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(LOWER_SQL.format('text'))} AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, w[i:i + 3] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY a, b),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(b) AS component_id, min(b) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP_SQL.format(docs="documents"), "op8_quality_rules": QUALITY_SQL.format(docs="documents")}
+    return {
+        "op2_warc_archive": WARC_SQL,
+        "op5_minhash_near_dedup": NEAR_DEDUP_SQL,
+        "op6_line_dedup": LINE_DEDUP_SQL.format(docs="documents"),
+        "op8_quality_rules": QUALITY_SQL.format(docs="documents"),
+    }
