@@ -209,9 +209,9 @@ def _compare(groups: list[dict], may_be_strong: bool) -> dict | None:
 
 def spread_tables(df: DataFrame, cats: list[str], nums: list[str]) -> dict[tuple[str, str], list[dict]]:
     """Per (cat, num) and level what :func:`evidence.dispersion_stats` gives, for all pairs in two aggregations."""
-    groupings = F.array(*(F.struct(F.lit(c).alias("cat"), label(df, c).alias("level")) for c in cats))
-    rows = df.select(F.inline(groupings), *(finite(df, n).alias(n) for n in nums)).filter("level is not null")
-    rows = rows.unpivot(["cat", "level"], nums, "num", "v").filter("v is not null")
+    groupings = F.array(*(F.struct(F.lit(c).alias("_cat"), label(df, c).alias("_level")) for c in cats))
+    rows = df.select(F.inline(groupings), *(finite(df, n).alias(n) for n in nums)).filter("_level is not null")
+    rows = rows.unpivot(["_cat", "_level"], nums, "num", "v").filter("v is not null").withColumnsRenamed({"_cat": "cat", "_level": "level"})
     keys = ["cat", "level", "num"]
     mid = rows.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("mid"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     dev, wide = F.abs(F.col("v") - F.col("mid")), 0.1 * (F.col("hi") - F.col("lo"))
@@ -346,11 +346,11 @@ def interactions(df: DataFrame, cats: list[Column], nums: list[str], times: list
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if not ("@" in a and "@" in b)]
     if not pairs or not measured:
         return []
-    grid = F.array(*(F.struct(F.lit(a).alias("fa"), F.lit(b).alias("fb"), factors[a].alias("a"), factors[b].alias("b")) for a, b in pairs))
-    rows = df.select(F.inline(grid), *(finite(df, n).alias(n) for n in measured)).dropna(subset=["a", "b"])
+    grid = F.array(*(F.struct(F.lit(a).alias("_fa"), F.lit(b).alias("_fb"), factors[a].alias("_a"), factors[b].alias("_b")) for a, b in pairs))
+    rows = df.select(F.inline(grid), *(finite(df, n).alias(n) for n in measured)).dropna(subset=["_a", "_b"])
     stats = [F.struct(F.lit(n).alias("num"), F.count(F.col(n)).alias("n"), F.avg(F.col(n)).alias("mean"), m2(F.col(n)).alias("m2")) for n in measured]
     cells: dict[tuple, list[dict]] = {}
-    for r in rows.groupBy("fa", "fb", "a", "b").agg(F.array(*stats).alias("s")).select("fa", "fb", "a", "b", F.inline("s")).filter(F.col("n") >= evidence.MIN_CELL).collect():
+    for r in rows.groupBy(*(F.col(f"_{k}").alias(k) for k in ("fa", "fb", "a", "b"))).agg(F.array(*stats).alias("s")).select("fa", "fb", "a", "b", F.inline("s")).filter(F.col("n") >= evidence.MIN_CELL).collect():
         cells.setdefault((r["fa"], r["fb"], r["num"]), []).append(r.asDict())
     out = []
     for (a, b, num), own in sorted(cells.items()):

@@ -27,10 +27,11 @@ def level_moments(df: DataFrame, levels: dict[str, Column], nums: list[str]) ->
     A row becomes one row per grouping, not per (grouping, number); the one
     shuffle carries the groups' partial moments.
     """
-    groupings = F.array(*(F.struct(F.lit(name).alias("cat"), c.cast("string").alias("level")) for name, c in levels.items()))
-    rows = df.select(F.inline(groupings), *(finite(df, n).alias(n) for n in nums)).filter("level is not null")
+    groupings = F.array(*(F.struct(F.lit(name).alias("_cat"), c.cast("string").alias("_level")) for name, c in levels.items()))
+    rows = df.select(F.inline(groupings), *(finite(df, n).alias(n) for n in nums)).filter("_level is not null")
     stats = [F.struct(F.lit(n).alias("num"), F.count(F.col(n)).alias("n"), F.avg(F.col(n)).alias("mean"), m2(F.col(n)).alias("m2")) for n in nums]
-    return rows.groupBy("cat", "level").agg(F.array(*stats).alias("x")).select("cat", "level", F.inline("x")).filter("n > 0")
+    rows = rows.groupBy(F.col("_cat").alias("cat"), F.col("_level").alias("level")).agg(F.array(*stats).alias("x"))
+    return rows.select("cat", "level", F.inline("x")).filter("n > 0")
 
 
 def effects(moments: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def interaction_strength(cells: DataFrame) -> DataFrame:
 def group_correlations(df: DataFrame, group: str, pairs: list[tuple[str, str]], least: int = MIN_GROUP) -> DataFrame:
     """(x, y, level, n, corr, slope) of every pair in every group; corr and slope null under ``least`` rows or without spread."""
     nums = sorted({n for p in pairs for n in p})
-    rows = df.select(label(df, group).alias("level"), *(finite(df, n).alias(n) for n in nums)).filter("level is not null")
+    rows = df.select(label(df, group).alias("_level"), *(finite(df, n).alias(n) for n in nums)).filter("_level is not null")
     out = None
     for at in range(0, len(pairs), CHUNK):
         stats = []
@@ -93,7 +94,7 @@ def group_correlations(df: DataFrame, group: str, pairs: list[tuple[str, str]],
             slope = F.try_divide(F.regr_sxy(F.col(y), F.col(x)), F.regr_sxx(F.col(y), F.col(x)))
             r = pearson(F.col(x), F.col(y))
             stats.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), n.alias("n"), F.when(n >= least, r).alias("corr"), F.when((n >= least) & r.isNotNull(), slope).alias("slope")))
-        part = rows.groupBy("level").agg(F.array(*stats).alias("s")).select("level", F.inline("s")).filter("n > 0")
+        part = rows.groupBy(F.col("_level").alias("level")).agg(F.array(*stats).alias("s")).select("level", F.inline("s")).filter("n > 0")
         out = part if out is None else out.unionByName(part)
     return out.select("x", "y", "level", "n", "corr", "slope")
 
@@ -155,8 +156,8 @@ def lag1_autocorrelation(df: DataFrame, order: list[str], nums: list[str]) -> Da
     """(num, rho, n): correlation of every number with its value one row before."""
     out = None
     for n in nums:
-        rows = lagged(df.select(*order, finite(df, n).alias("v")), order, "v")
-        row = rows.agg(pearson(F.col("before"), F.col("v")).alias("rho"), F.regr_count("v", "before").alias("n")).select(F.lit(n).alias("num"), "rho", "n")
+        rows = lagged(df.select(*order, finite(df, n).alias("_v")), order, "_v", "_before")
+        row = rows.agg(pearson(F.col("_before"), F.col("_v")).alias("rho"), F.regr_count("_v", "_before").alias("n")).select(F.lit(n).alias("num"), "rho", "n")
         out = row if out is None else out.unionByName(row)
     return out
 

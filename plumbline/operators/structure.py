@@ -64,12 +64,13 @@ def group_time_pattern(df: DataFrame, time: str, cat: str, num: str, unit: str)
 
 def nonlinear_bins(df: DataFrame, x: str, ys: list[str], bins: int = CURVE_BINS) -> DataFrame:
     """(y, bin, lo, hi, n, mean, m2) over equal-frequency bins of x by average rank; ties share a bin."""
-    rows = df.select(finite(df, x).alias("x"), *(finite(df, y).alias(y) for y in ys)).filter("x is not null")
-    whole = rows.agg(F.count("*").alias("n_x"))
-    ranked = average_ranks(rows, "x").crossJoin(F.broadcast(whole))
-    ranked = ranked.withColumn("bin", rank_bin(F.col("rank"), F.col("n_x"), bins))
+    rows = df.select(finite(df, x).alias("_x"), *(finite(df, y).alias(y) for y in ys)).filter("_x is not null")
+    whole = rows.agg(F.count("*").alias("_all"))
+    ranked = average_ranks(rows, "_x", out="_rank").crossJoin(F.broadcast(whole))
+    at = rank_bin(F.col("_rank"), F.col("_all"), bins)
     stats = [F.struct(F.lit(y).alias("y"), F.count(F.col(y)).alias("n"), F.avg(F.col(y)).alias("mean"), m2(F.col(y)).alias("m2")) for y in ys]
-    found = ranked.groupBy("bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.array(*stats).alias("s")).select("bin", "lo", "hi", F.inline("s"))
+    found = ranked.groupBy(at.alias("_bin")).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.array(*stats).alias("s"))
+    found = found.select(F.col("_bin").alias("bin"), "lo", "hi", F.inline("s"))
     return found.filter("n > 0").select("y", "bin", "lo", "hi", "n", "mean", "m2")
 
 

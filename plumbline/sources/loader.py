@@ -10,7 +10,8 @@ import zipfile
 from collections.abc import Iterable
 from xml.etree import ElementTree
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     try:
         df = spark.read.parquet(path)
-    except AnalysisException as e:
-        raise LoadError(f"not a readable Parquet file: {e.getMessage()}") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise LoadError(f"not a readable Parquet file: {path}") from e
     if not df.columns:
         raise LoadError("the file has no columns")
     if df.isEmpty():
