@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.catalogue_sql import SQL
-from plumbline.functions.exprs import average_ranks, bucket, label
-from plumbline.operators import charts, evidence, profile, sampling, structure, typing
+from plumbline.functions.exprs import bucket, label
+from plumbline.operators import charts, evidence, ordered, profile, sampling, structure, typing
 
 OFF_GRID = 1.2345e-8
 LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -164,7 +164,7 @@ def spearman_matrix(read):
 
 @query
 def average_rank(read):
-    rows = average_ranks(read("part").select("p_partkey", "p_size"), "p_size")
+    rows = ordered.average_ranks(read("part").select("p_partkey", "p_size"), "p_size")
     return rows.select("p_partkey", F.col("rank").cast("double").alias("rank"))
 
 

@@ -7,7 +7,6 @@ expression depends on a session setting.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,19 +46,6 @@ def pearson(x: Column, y: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """``df`` with the average rank of ``value`` among its non-null values, ties sharing theirs.
-
-    Rows are counted per value first, and only the distinct values are summed
-    up in order; equal values of a hot key never meet in one task.
-    """
-    keys = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(*keys).orderBy(value))
-    ranks = counts.select(*keys, value, (before - (F.col("_c") - 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value], "left")
-
-
 def rank_bin(rank: Column, n: Column, bins: int) -> Column:
     """Equal-frequency bin of an average rank; ties share a bin."""
     return F.least(F.greatest(F.floor((rank - 1) * bins / n), F.lit(0)), F.lit(bins - 1)).cast("long")

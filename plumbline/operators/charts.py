@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import bucket, finite, width_bin
+from plumbline.operators import ordered
 
 AGGREGATIONS = ("count", "sum", "mean", "median", "min", "max")
 HEX_COLUMNS = 40
@@ -157,19 +158,16 @@ def sankey(df: DataFrame, source: str, target: str, y: str | None = None, how: s
 
 def stride(df: DataFrame, x: str, most: int) -> DataFrame:
     """Every k-th row of a series in order of x, k the least that leaves ``most`` rows."""
-    rows = df.withColumn("_at", F.row_number().over(W.orderBy(x)) - 1)
+    rows = ordered.positions(df, [x, *(c for c in df.columns if c != x)], "_nth")
     n = df.agg(F.ceil(F.count("*") / most).alias("_k"))
-    return rows.crossJoin(F.broadcast(n)).filter(F.col("_at") % F.greatest("_k", F.lit(1)) == 0).drop("_at", "_k")
+    return rows.crossJoin(F.broadcast(n)).filter((F.col("_nth") - 1) % F.greatest("_k", F.lit(1)) == 0).drop("_nth", "_k")
 
 
 def gap_flags(series: DataFrame, x: str, key: str) -> DataFrame:
     """(series, x, gap): whether a grouped line breaks before a point because other series have buckets in between.
 
-    Buckets are ranked once over all series (bounded by the buckets there are);
-    a step of more than one rank is a gap.
+    Buckets are ranked once over all series; a step of more than one rank is a gap.
     """
-    at = F.dense_rank().over(W.orderBy(x))
-    ranks = series.select(x).distinct().withColumn("_rank", at)
-    rows = series.join(ranks, x)
+    rows = series.join(ordered.positions(series.select(x).distinct(), [x], "_rank"), x)
     step = F.col("_rank") - F.lag("_rank").over(W.partitionBy(key).orderBy(x))
     return rows.select(key, x, F.coalesce(step > 1, F.lit(False)).alias("gap"))

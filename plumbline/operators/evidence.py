@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import bucket, finite, label, m2, pearson
+from plumbline.operators import ordered
 
 MIN_CELL, MIN_CELLS, FULL_GRID = 5, 4, 0.7
 MIN_GROUP = 30
@@ -134,29 +135,15 @@ def dispersion_stats(df: DataFrame, cat: str, num: str) -> DataFrame:
 def resolution(df: DataFrame, num: str) -> DataFrame:
     """The smallest step between distinct finite values."""
     distinct = df.select(finite(df, num).alias("v")).filter("v is not null").distinct()
-    return distinct.select((F.col("v") - F.lag("v").over(W.orderBy("v"))).alias("step")).agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("resolution"))
-
-
-def lagged(df: DataFrame, order: list[str], value: str, out: str = "before") -> DataFrame:
-    """``df`` with the value one row before in a total order.
-
-    Rows are range-partitioned, each partition lags by itself, and its first
-    row takes the last value of the partition before from a table of one row
-    per partition.
-    """
-    rows = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = W.partitionBy("_part").orderBy(*order)
-    rows = rows.withColumn("_at", F.row_number().over(own)).withColumn("_own", F.lag(value).over(own))
-    last = rows.groupBy("_part").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col("_at")).alias("last"))
-    last = last.select("_part", F.lag("last").over(W.orderBy("_part"))["v"].alias("_edge"))
-    return rows.join(F.broadcast(last), "_part").withColumn(out, F.when(F.col("_at") == 1, F.col("_edge")).otherwise(F.col("_own"))).drop("_part", "_at", "_own", "_edge")
+    steps = ordered.lagged(distinct, ["v"], "v").select((F.col("v") - F.col("before")).alias("step"))
+    return steps.agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("resolution"))
 
 
 def lag1_autocorrelation(df: DataFrame, order: list[str], nums: list[str]) -> DataFrame:
     """(num, rho, n): correlation of every number with its value one row before."""
     out = None
     for n in nums:
-        rows = lagged(df.select(*order, finite(df, n).alias("_v")), order, "_v", "_before")
+        rows = ordered.lagged(df.select(*order, finite(df, n).alias("_v")), order, "_v", "_before")
         row = rows.agg(pearson(F.col("_before"), F.col("_v")).alias("rho"), F.regr_count("_v", "_before").alias("n")).select(F.lit(n).alias("num"), "rho", "n")
         out = row if out is None else out.unionByName(row)
     return out

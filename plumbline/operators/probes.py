@@ -180,7 +180,7 @@ def _slope_difference(df: DataFrame, profile: Profile, req: Request):
 
 def _nonlinear_relationship(df: DataFrame, profile: Profile, req: Request):
     x, y = req["x"], req["y"]
-    rows = [r.asDict() for r in structure.nonlinear_bins(df, x, [y]).orderBy("bin").collect()]
+    rows = [r.asDict() for r in structure.nonlinear_bins(df, x, [y], bounded=True).orderBy("bin").collect()]
     found = curves.curve(rows, (profile.pearson.get((x, y)) or profile.pearson.get((y, x)) or (None, 0))[0])
     if found is None:
         return None
@@ -195,8 +195,9 @@ def _distribution_difference(df: DataFrame, profile: Profile, req: Request):
     best = max(rows, key=lambda r: (r["distance"], r["a"], r["b"]))
     sizes = {r[k]: r[f"n_{k}"] for r in rows for k in "ab"}
     p = min(1.0, min(tails.ks_tail(r["distance"], r["n_a"], r["n_b"]) for r in rows) * len(rows))
+    groups = [r.asDict() for r in structure.group_summary(df, req["group"], req["target"]).orderBy("level").collect()]
     chart = Spec("box", req["group"], req["target"], title=f"{req['target']} distribution by {req['group']}")
-    return best["distance"], "largest two-sample KS distance", sum(sizes.values()), min(sizes.values()), p, None, {"pairs": rows, "most_different": [best["a"], best["b"]]}, chart
+    return best["distance"], "largest two-sample KS distance", sum(sizes.values()), min(sizes.values()), p, None, {"groups": groups, "pairs": rows, "most_different": [best["a"], best["b"]]}, chart
 
 
 def _time_pattern(df: DataFrame, profile: Profile, req: Request):

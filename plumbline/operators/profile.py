@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.exprs import average_ranks, finite, label, pearson
+from plumbline.functions.exprs import finite, label, pearson
+from plumbline.operators import ordered
+from plumbline.operators.ordered import average_ranks
 from plumbline.operators.typing import MISSING_TOKENS, numeric_cast, stripped
 
 #: Aggregate expressions of one pass; more would outgrow generated code.
@@ -57,8 +59,8 @@ def category_lists(df: DataFrame, names: list[str], most: int = LABELS_LISTED) -
 def datetime_frequency(df: DataFrame, name: str) -> DataFrame:
     """first, last, n_distinct, median_gap (days) and frequency of a time column."""
     distinct = df.filter(F.col(name).isNotNull()).select(F.col(name).cast("timestamp_ntz").alias("t")).distinct()
-    gap = F.timestamp_diff("MICROSECOND", F.lag("t").over(W.orderBy("t")), F.col("t")) / 8.64e10
-    row = distinct.withColumn("gap", gap).agg(F.min("t").cast("string").alias("first"), F.max("t").cast("string").alias("last"), F.count("*").alias("n_distinct"), F.percentile("gap", F.lit(0.5)).alias("median_gap"))
+    gap = F.timestamp_diff("MICROSECOND", F.col("before"), F.col("t")) / 8.64e10
+    row = ordered.lagged(distinct, ["t"], "t").withColumn("gap", gap).agg(F.min("t").cast("string").alias("first"), F.max("t").cast("string").alias("last"), F.count("*").alias("n_distinct"), F.percentile("gap", F.lit(0.5)).alias("median_gap"))
     g = F.col("median_gap")
     frequency = F.when(F.col("n_distinct") < 3, "unknown").when(g.between(0.9, 1.1), "daily").when(g.between(6.5, 7.5), "weekly").when(g.between(27, 32), "monthly").otherwise("irregular")
     return row.withColumn("frequency", frequency)
@@ -133,11 +135,11 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
-def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+def spearman_pairs(df: DataFrame, names: list[str], bounded: bool = False) -> DataFrame:
     """As :func:`pearson_pairs` on average ranks, taken once over all finite values of a column."""
     rows = df.select(*(finite(df, n).alias(n) for n in names))
     for n in names:
-        rows = average_ranks(rows, n, out=f"rank of {n}")
+        rows = average_ranks(rows, n, f"rank of {n}", bounded)
     return pearson_pairs(rows.select(*(F.col(f"rank of {n}").alias(n) for n in names)), names)
 
 

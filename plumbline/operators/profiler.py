@@ -109,7 +109,7 @@ def _evidence(df: DataFrame, out: Profile) -> None:
     times = [c for c in out.columns if c.semantic == "datetime"]
     if len(names) >= 2:
         out.pearson = {(r["a"], r["b"]): (r["r"], r["n"]) for r in profile.pearson_pairs(df, names).collect()}
-        out.spearman = {(r["a"], r["b"]): r["r"] for r in profile.spearman_pairs(df, names).collect()}
+        out.spearman = {(r["a"], r["b"]): r["r"] for r in profile.spearman_pairs(df, names, bounded=True).collect()}
     e = out.evidence
     levels = {c.name: label(df, c.name) for c in cats}
     moments: list[dict] = []

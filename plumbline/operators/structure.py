@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.exprs import average_ranks, bucket, finite, label, m2, rank_bin
+from plumbline.functions.exprs import bucket, finite, label, m2, rank_bin
+from plumbline.operators import ordered
+from plumbline.operators.ordered import average_ranks
 
 MIN_ROWS = 30
 DIST_BINS, CURVE_BINS = 10, 10
@@ -62,11 +64,11 @@ def group_time_pattern(df: DataFrame, time: str, cat: str, num: str, unit: str)
     return rows.groupBy("bucket", "level").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
 
-def nonlinear_bins(df: DataFrame, x: str, ys: list[str], bins: int = CURVE_BINS) -> DataFrame:
+def nonlinear_bins(df: DataFrame, x: str, ys: list[str], bins: int = CURVE_BINS, bounded: bool = False) -> DataFrame:
     """(y, bin, lo, hi, n, mean, m2) over equal-frequency bins of x by average rank; ties share a bin."""
     rows = df.select(finite(df, x).alias("_x"), *(finite(df, y).alias(y) for y in ys)).filter("_x is not null")
     whole = rows.agg(F.count("*").alias("_all"))
-    ranked = average_ranks(rows, "_x", out="_rank").crossJoin(F.broadcast(whole))
+    ranked = average_ranks(rows, "_x", "_rank", bounded).crossJoin(F.broadcast(whole))
     at = rank_bin(F.col("_rank"), F.col("_all"), bins)
     stats = [F.struct(F.lit(y).alias("y"), F.count(F.col(y)).alias("n"), F.avg(F.col(y)).alias("mean"), m2(F.col(y)).alias("m2")) for y in ys]
     found = ranked.groupBy(at.alias("_bin")).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.array(*stats).alias("s"))
@@ -115,8 +117,8 @@ def ks_distances(df: DataFrame, cat: str, num: str, least: int = MIN_ROWS, group
     if len(levels) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, n_a long, n_b long, distance double")
     wide = counts.groupBy("v").agg(*(F.sum(F.when(F.col("level") == v, F.col("c")).otherwise(0)).alias(f"c{i}") for i, (v, _) in enumerate(levels)))
-    upto = W.orderBy("v")
-    shares = wide.select(*((F.sum(f"c{i}").over(upto) / n).alias(f"f{i}") for i, (_, n) in enumerate(levels)))
+    summed = ordered.running(wide, ["v"], {f"s{i}": F.col(f"c{i}") for i in range(len(levels))})
+    shares = summed.select(*((F.col(f"s{i}") / n).alias(f"f{i}") for i, (_, n) in enumerate(levels)))
     pairs = [(i, j) for i in range(len(levels)) for j in range(i + 1, len(levels))]
     gaps = [F.struct(F.lit(levels[i][0]).alias("a"), F.lit(levels[j][0]).alias("b"), F.lit(levels[i][1]).alias("n_a"), F.lit(levels[j][1]).alias("n_b"), F.max(F.abs(F.col(f"f{i}") - F.col(f"f{j}"))).alias("distance")) for i, j in pairs]
     return shares.agg(F.array(*gaps).alias("x")).select(F.inline("x"))

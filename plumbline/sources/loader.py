@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import os
 import re
-import uuid
 import zipfile
 from collections.abc import Iterable
 from xml.etree import ElementTree
@@ -15,6 +14,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import scratch_path
+
 KINDS = (".csv", ".xlsx", ".parquet")
 MOST_BYTES = 200 * 1024 * 1024
 DATASET_ID = re.compile(r"[0-9a-f]{32}")
@@ -42,11 +43,6 @@ def unique_names(names: Iterable[str | None]) -> list[str]:
     return out
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    return f"{root}/plumbline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, types inferred; bytes that are not UTF-8 become replacement characters."""
     head = spark.read.option("header", False).option("inferSchema", False).csv(path).limit(1).first()
@@ -150,6 +146,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written to the shared folder as ``kind`` and loaded again."""
-    path = _scratch(df.sparkSession, f"table.{kind}")
+    path = scratch_path(df.sparkSession, f"table.{kind}")
     (df.write.option("header", True).csv if kind == "csv" else df.write.parquet)(path)
     return load(df.sparkSession, path)

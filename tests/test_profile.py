@@ -72,8 +72,8 @@ def test_planted_effects(profiles):
     assert mix[frozenset(("team", "state"))]["strength"] > 0.5 and mix[frozenset(("team", "state"))]["p_value"] < 1e-6
     bent = {(m["x"], m["y"]): m for m in e["nonlinear"]}
     assert bent["x", "curved"]["shape"] == "u_shape" and bent["x", "curved"]["p_value"] < 1e-6
-    flips = {(m["x"], m["y"]): m for m in e["conditional"]}
-    assert flips["slope", "x"]["corr_spread"] > 1.5 if ("slope", "x") in flips else flips["x", "slope"]["corr_spread"] > 1.5
+    flips = {(frozenset((m["x"], m["y"])), m["group"]): m for m in e["conditional"]}
+    assert flips[frozenset(("x", "slope")), "team"]["corr_spread"] > 1.5
     steps = {m["num"]: m for m in e["change_points"]}
     assert steps["stepped"]["flagged"] and steps["stepped"]["effect_size"] > 2 * steps["x"]["effect_size"]
 
