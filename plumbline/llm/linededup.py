@@ -98,6 +98,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the lines gone from ``text`` and ``n_chars`` to match; a null text stays null."""
-    rows = apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
-    rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_text")))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    rows = apply_bitmaps(own, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    text = F.when(F.col("text").isNotNull(), F.col("_text"))
+    row = F.col("_row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast("long"))
+    return rows.select(row.alias("_row")).select("_row.*")

@@ -29,7 +29,7 @@ SHAPES = {
     "key": r"AKIA[A-Z0-9]{16}",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}",
+    "phone": r"(?:(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}|\+[0-9]{1,3}[ .\-][0-9]{1,4}(?:[ .\-][0-9]{2,4}){1,4})",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
 }
@@ -202,14 +202,17 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     A null text stays null with 0; rows that repeat get the same pseudonyms;
     other columns pass unread.  One narrow pass, all in SQL functions.
     """
-    names = [c for c in docs.columns if c != "n_private"]
-    some = F.col(text).rlike("[0-9@]") | F.col(text).contains("AKIA")
-    found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    own = F.struct(*(F.col(c) for c in docs.columns if c != "n_private"))
+    rows = docs.select(own.alias("_row"), F.col(text).alias("_text"))
+    some = F.col("_text").rlike("[0-9@]") | F.col("_text").contains("AKIA")
+    found = F.when(some, F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def swapped(f: Column) -> Column:
-        fresh = F.transform(f, lambda m: pseudonym(m, key))
-        return let(fresh, lambda x: F.struct(F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), x, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "").alias("text"), F.size(F.filter(F.zip_with(f, x, lambda a, b: a != b), lambda y: y)).cast("long").alias("n")))
+        parts = lambda x: F.flatten(F.zip_with(F.split("_text", PATTERN, -1), x, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))
+        n = lambda x: F.size(F.filter(F.zip_with(f, x, lambda a, b: a != b), lambda y: y)).cast("long")
+        return let(F.transform(f, lambda m: pseudonym(m, key)), lambda x: F.struct(F.array_join(parts(x), "").alias("text"), n(x).alias("n")))
 
     done = let(found, lambda f: F.when(F.size(f) > 0, swapped(f)))
-    rows = docs.select(*(F.col(c) for c in names), done.alias("_done"))
-    return rows.select(*(F.coalesce(F.col("_done.text"), F.col(c)).alias(c) if c == text else F.col(c) for c in names), F.coalesce(F.col("_done.n"), F.lit(0).cast("long")).alias("n_private"))
+    rows = rows.select("_row", "_text", done.alias("_done"))
+    row = F.col("_row").withField(text, F.coalesce("_done.text", "_text"))
+    return rows.select(row.alias("_row"), F.coalesce("_done.n", F.lit(0).cast("long")).alias("_n")).select("_row.*", F.col("_n").alias("n_private"))

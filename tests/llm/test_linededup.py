@@ -73,7 +73,7 @@ def test_bitmaps_are_runs(docs):
 
 
 def test_drop_lines_keeps_columns_and_null_texts(docs):
-    df = docs(ROWS)
+    df = docs(ROWS, {"_text": F.lit("clash"), "_keep": F.lit(1)})
     out = {r.doc_id: r for r in linededup.drop_lines(df).collect()}
     assert linededup.drop_lines(df).columns == df.columns
     assert out[1].text == "own line one of document 1\n\nshort" and out[1].n_chars == len(out[1].text)
