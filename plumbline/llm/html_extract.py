@@ -6,7 +6,8 @@ children it has there (presentation) and the distinct texts (content).  A node
 whose presentation and texts repeat over the pages is template, one with a text
 of its own on every page is content; entropy measures which.  Nodes of low
 importance are removed from each page, along with elements that are never part
-of an article (menus, forms, scripts, ...).
+of an article (menus, forms, scripts, ...).  Pages of a host with equal html
+count as one, so that copies of an article do not make it look like template.
 
 Pages are parsed twice and never shuffled unless the table of low-importance
 nodes by host outgrows the bound of a broadcast.
@@ -29,7 +30,7 @@ from .common import lookup, materialize
 #: Share of content (against presentation) in a node's importance, and the importance under which a node is template.
 CONTENT_SHARE = 0.9
 LOW = 0.4
-#: Pages of a host from which a node can be judged; fewer pages may just be copies of one another.
+#: Distinct pages of a host from which a node can be judged.
 MIN_PAGES = 8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,6 +204,15 @@ def importance(pages: DataFrame) -> DataFrame:
     return sums.filter("pages > 1").select("host", "path", "pages", (CONTENT_SHARE * content + (1 - CONTENT_SHARE) * presentation).alias("importance"))
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html) of ``pages`` (page_id, host, html), one row for every html of a host; only copied pages are shuffled."""
+    rows = pages.select("page_id", "host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("same"))
+    copied = rows.groupBy("host", "same").agg(F.count("*").alias("n")).filter("n > 1").select("host", "same", F.lit(True).alias("copied"))
+    rows = lookup(rows, copied, ["host", "same"], F.col("page_id"))
+    one = rows.filter("copied").groupBy("host", "same").agg(F.first("html").alias("html"))
+    return rows.filter("copied is null").select("host", "html").unionByName(one.select("host", "html"))
+
+
 def main_text(html: str, low=frozenset()) -> str:
     """The article of a page without the nodes whose path hashes are in ``low``.
 
@@ -236,7 +246,7 @@ def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> D
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.when(host != "", F.xxhash64(host)).alias("host"))
-    nodes = materialize(importance(rows.filter("host is not null")), "nodes")
+    nodes = materialize(importance(distinct_pages(rows.filter("host is not null"))), "nodes")
     template = nodes.filter((F.col("pages") >= min_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("low"))
     rows = lookup(rows, template, ["host"], F.col("page_id")).select("page_id", "url", "html", "low")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -86,3 +86,13 @@ def test_awkward_rows(spark):
     got = sorted(((r.page_id, r.n_chars) for r in out.collect()), key=repr)
     assert got == sorted([(1, 0), (None, 0), (2, 1), (2, 1), (3, 1), (4, 399999), (5, len(main_text("<" * 3000 + "p>")))], key=repr)
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_copied_pages_keep_lists_tables_and_plain_divs(spark):
+    listed = "<html><body><article><h1>T</h1><ul><li>first item</li></ul><table><tr><th>head</th><td>cell</td></tr></table></article></body></html>"
+    plain = "<html><body><div class=post><p>story</p>tail</div></body></html>"
+    rows = [(i, f"https://a.example/{i}", listed) for i in range(12)] + [(20 + i, f"https://b.example/{i}", plain) for i in range(12)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    alone = html_extract.main_text(listed), html_extract.main_text(plain)
+    assert "cell" in alone[0] and "first item" in alone[0] and "story" in alone[1]
+    assert out == {i: alone[i >= 20] for i in out} and len(out) == 24
