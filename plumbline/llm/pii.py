@@ -21,15 +21,22 @@ WALKS = 16
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 DAY_RADIX = (271, 270)
 
-_EDGE, _END = r"(?<![A-Za-z0-9_.@+\-])", r"(?![A-Za-z0-9_])"
+#: A value ends where no letter or digit follows; a date also before the time of an ISO time stamp.
+_EDGE, _END = r"(?<![A-Za-z0-9_.@+\-])", r"(?:(?![A-Za-z0-9_])|(?<=[0-9]{4}-[0-9]{2}-[0-9]{2})(?=T[0-9]{2}:?[0-9]{2}))"
+#: Length of an IBAN without country and check digits, and the countries that have it.
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FK|FO|GL|NL|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|MN|XK", 17: "CH|HR|LI|LV", 18: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 19: "AE|GI|IL|IQ|OM|SO|TL",
+    20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "LY|PT|ST", 22: "IS|TR", 23: "BI|DJ|FR|GR|IT|MC|MR|SM", 24: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
+}
+_IBAN_OF_COUNTRY = "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, c in IBAN_LENGTHS.items()) + ")" + _END
 #: The shapes, in the order in which they are tried.
 SHAPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": rf"(?:{_IBAN_OF_COUNTRY}|" r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)",
     "key": r"AKIA[A-Z0-9]{16}",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}|\+[0-9]{1,3}[ .\-][0-9]{1,4}(?:[ .\-][0-9]{2,4}){1,4})",
+    "phone": r"(?:(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}|\+[0-9](?:[ .\-]?[0-9]){7,14}|\+[0-9]{1,3}[ .\-][0-9]{1,4}(?:[ .\-][0-9]{2,4}){1,4})",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
 }

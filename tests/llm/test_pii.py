@@ -102,3 +102,15 @@ def test_awkward_rows(docs):
     assert sorted((r.n_private for r in rows)) == [0, 0, 0, 1, 1, 1] and {r.text for r in rows if r.doc_id == 1} == {None}
     assert len({r.text for r in rows if r.doc_id is None}) == 1
     assert pii.pseudonymize(docs([]), KEY).count() == 0
+
+
+def test_ibans_before_other_words_time_stamps_and_plain_phones(spark):
+    ibans = [("ES9121000418450200051332", " 2021"), ("BE68539007547034", " PAID"), ("DE89 3704 0044 0532 0130 00", " 2021 ABCD")]
+    for (old, rest), new in zip(ibans, swap(spark, [a + b for a, b in ibans])):
+        assert new.endswith(rest) and new[: len(old)] != old and new[:2] == old[:2], new
+        assert len(new) == len(old + rest)
+    stamps = swap(spark, ["1984-03-07T10:00:00Z", "1984-03-07", "1984-03-07Tea"])
+    assert stamps[0] == stamps[1] + "T10:00:00Z" and stamps[1] != "1984-03-07" and stamps[2] == "1984-03-07Tea"
+    phones = ["+4915112345678", "+15551234567", "+49 30 1234567"]
+    for old, new in zip(phones, swap(spark, phones)):
+        assert new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)
