@@ -101,8 +101,8 @@ full_lines AS (SELECT *, trim(line, {SPACE_SQL}) AS t FROM lines WHERE trim(line
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
 often AS (
-  SELECT l.source, {LOWER_SQL.format('t')} AS k FROM full_lines l GROUP BY l.source, k
-  HAVING count(DISTINCT text) > {quality.LINE_DOCS} AND 100 * count(DISTINCT text) > {quality.LINE_PERCENT} * (SELECT n FROM hosts h WHERE h.source IS NOT DISTINCT FROM l.source)),
+  SELECT l.source, {LOWER_SQL.format('t')} AS k FROM full_lines l WHERE len({WORDS_SQL.format('t')}) <= {quality.LINE_WORDS} GROUP BY l.source, k
+  HAVING count(DISTINCT text) > {quality.LINE_DOCS} * (SELECT ceil(n / {quality.PER_DOCS}) FROM hosts h WHERE h.source IS NOT DISTINCT FROM l.source)),
 lost AS (
   SELECT doc_id, sum(len({WORDS_SQL.format('t')})) AS n FROM full_lines l JOIN often o
   ON l.source IS NOT DISTINCT FROM o.source AND {LOWER_SQL.format('t')} = o.k GROUP BY doc_id),
