@@ -1,22 +1,31 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is a path of tags and
-class names, with the number of pages it is on, the distinct sequences of
-children it has there (presentation) and the distinct texts (content).  A node
-whose presentation and texts repeat over the pages is template, one with a text
-of its own on every page is content; entropy measures which.  Nodes of low
-importance are removed from each page, along with elements that are never part
-of an article (menus, forms, scripts, ...).  Pages of a host with equal html
-count as one, so that copies of an article do not make it look like template.
-
-Pages are parsed twice and never shuffled unless the table of low-importance
-nodes by host outgrows the bound of a broadcast.
+The distinct pages of a host are merged into one tree.  An element node is a
+path of tags and class names; the tree knows on how many pages it is, in which
+sequences of children it is shown there (presentation), and which texts it
+holds directly (content).  Entropy over the pages gives the importance of both:
+what looks and reads the same everywhere is template, what differs is content.
+The importance of a node is composed over its whole branch, from the leaves up,
+and a branch that is unimportant together with everything in it is cut from
+every page of the host.  A single text found on most pages of the host goes
+too, outside lists, tables and headings, whose items repeat by nature.
+
+Elements that are never part of an article (menus, forms, scripts, ...) go in
+any case.  Pages of a host that have the same text left by these rules count as
+one, so that copies of an article do not make it look like template.  Text
+inside article or main elements is the page's text where there is any.
+
+A node is judged when a tenth of its host's distinct pages (three at least)
+have it.  A host has at most ten times as many such nodes as an average page,
+however many pages there are: that bounds what is composed in one task and what
+is looked up by the pages, which are parsed twice and never shuffled unless the
+lookup table outgrows the bounds of a broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,17 +36,27 @@ from pyspark.sql import functions as F
 
 from .common import lookup, materialize
 
-#: Share of content (against presentation) in a node's importance, and the importance under which a node is template.
-CONTENT_SHARE = 0.9
+#: Weight that each further presentation takes from the children of a node, and the importance under which it is template.
+DAMPING = 0.9
 LOW = 0.4
-#: Distinct pages of a host from which a node can be judged.
-MIN_PAGES = 8
+#: A node is judged from this share of the distinct pages of its host, and from so many pages.
+JUDGED_SHARE, JUDGED_PAGES = 0.1, 3
+#: Share of the pages on which one and the same text is template.
+TEXT_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noframes svg".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROOTS = frozenset("html body article main".split())
+#: Never cut by themselves inside an article, only with the branch they belong to.
+LABELS = HEADINGS | frozenset("th dt caption figcaption".split())
+#: Their texts repeat over pages by nature.
+ITEMS = LABELS | frozenset("li dd td".split())
+#: Their ids are anchors of the text.
+ANCHORS = ITEMS | frozenset("p pre blockquote a".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 NEVER = frozenset("nav footer aside form button select option optgroup datalist label dialog menu head object embed audio video canvas map fieldset legend input".split()) | RAW
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html head li dd dt option optgroup summary figcaption legend".split())
@@ -48,21 +67,26 @@ CUES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adbox adslot banner banners promo promotion promoted sponsor sponsored sponsors sidebar sidebars menu menus navbar nav navigation "
     "breadcrumb breadcrumbs masthead topbar footer footers cookie cookies consent gdpr notice notices notification alert popup popups modal overlay newsletter subscribe subscription signup login signin search "
     "searchbox share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets toolbar pagination pager skip copyright legal disclaimer "
-    "contentinfo complementary dialog form hidden tags tagcloud trending popular".split()
+    "contentinfo complementary dialog discussion form hidden tags tagcloud trending popular".split()
 )
+#: Closing tags that end everything opened inside their element.
+CLOSED = frozenset("html body article main div section nav footer aside header form table ul ol".split())
 HEADS = frozenset("header site-header page-header".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=\s|/|$))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
-_DIGITS = re.compile(r"\d+")
+#: Numbers of items in class names, which differ from page to page.
+_DIGITS = re.compile(r"(?<=[-_])\d+|\d{2,}")
 
 
 class Node:
-    __slots__ = ("tag", "path", "bad", "inside", "children")
+    """An open element: its key in the tree, the nearest block around its text, and what it inherits."""
 
-    def __init__(self, tag: str, path: str, bad: bool, inside: bool):
-        self.tag, self.path, self.bad, self.inside, self.children = tag, path, bad, inside, []
+    __slots__ = ("tag", "key", "home", "depth", "bad", "mute", "inside", "children")
+
+    def __init__(self, tag: str, key: int, home: Node | None, depth: int, bad: bool, mute: bool, inside: bool):
+        self.tag, self.key, self.home, self.depth, self.bad, self.mute, self.inside, self.children = tag, key, home or self, depth, bad, mute, inside, []
 
 
 def _judge(tag: str, attrs: str, parent: Node) -> tuple[str, bool]:
@@ -74,36 +98,53 @@ def _judge(tag: str, attrs: str, parent: Node) -> tuple[str, bool]:
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role"):
+            if key == "class":
+                name = f"{tag}.{_DIGITS.sub('', value)}"
+            if tag in HEADINGS or key == "id" and (tag in ANCHORS or tag == "section" and parent.inside):
+                continue
             parts = {p.lower() for p in _PART.findall(value)}
-            if tag not in ("html", "body", "article", "main"):
+            if tag not in ROOTS:
                 bad = bad or not CUES.isdisjoint(parts) or not parent.inside and bool(parts & HEADS)
             elif "comment" in parts or "comments" in parts:
                 bad = bad or tag == "article"
-            if key == "class":
-                name = f"{tag}.{_DIGITS.sub('', value)}"
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             bad = True
     return name, bad
 
 
-def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str]]]:
-    """Blocks (path, removed by kind, inside an article, text) in page order, and presentations (path, children)."""
-    root = Node("", "", False, False)
-    stack, blocks, styles, buffer = [root], [], [], []
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text, seed)
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+def parse(html: str, low: frozenset[int] = frozenset(), shown: list | None = None) -> list[tuple[Node, int, bool, str]]:
+    """Blocks of text in page order: their element, their key among its texts, removed or not, text.
+
+    A block is removed by its kind or because its branch or itself is in
+    ``low``.  ``shown`` takes every block element with the hash of its sequence
+    of children when it closes.  A muted inline element (a button, a hidden
+    span) leaves its paragraph whole but for its own text.
+    """
+    root = Node("", 0, None, 0, False, False, False)
+    stack, blocks, buffer = [root], [], []
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                top = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
-                node = stack[-1]
-                blocks.append((top.path, node.bad, node.inside, text))
+                node = stack[-1].home
+                key = _hash(text, node.key)
+                blocks.append((node, key, node.bad or key in low and node.tag not in ITEMS, text))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
-            styles.append((node.path, ",".join(dict.fromkeys(node.children))))
+            if shown is not None and node.home is node:
+                shown.append((node, stack[-1].home, _hash(",".join(dict.fromkeys(node.children)))))
 
     def pop(tags, scope) -> None:
         for d in range(len(stack) - 1, 0, -1):
@@ -115,138 +156,197 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
     at, end = 0, len(html)
     while at < end:
         m = _TAG.search(html, at)
+        stop = m.start() if m else end
+        if stop > at and not stack[-1].mute:
+            piece = html[at:stop]
+            buffer.append(unescape(piece) if "&" in piece else piece)
         if not m:
-            buffer.append(unescape(html[at:]))
             break
-        if m.start() > at:
-            piece = html[at : m.start()]
-            buffer.append(unescape(piece) if "&" in piece else piece)
         at = m.end()
         slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag or not html.endswith(">", m.start(), at):
             continue
         tag = tag.lower()
+        block = tag in BLOCK
         if slash:
-            if tag in BLOCK:
+            if block and not stack[-1].mute:
                 flush()
-            pop((tag,), () if tag in ("html", "body", "article", "main", "div", "section", "nav", "footer", "aside", "header", "form", "table", "ul", "ol") else ("table",))
+            pop((tag,), () if tag in CLOSED else ("table",))
             continue
-        if tag in BLOCK:
-            flush()
+        if block:
+            if not stack[-1].mute:
+                flush()
             if tag in CLOSES_P:
                 pop(("p",), ("table", "td", "th", "button", "object"))
             if tag in SAME:
                 pop(SAME[tag], SCOPE)
-        elif tag == "br":
+        elif tag == "br" and not stack[-1].mute:
             buffer.append(" ")
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = stop.end() if stop else end
+        if tag in RAW or tag == "xmp":
+            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+            if tag == "xmp" and not stack[-1].mute:
+                buffer.append(html[at : m.start() if m else end])
+                flush()
+            at = m.end() if m else end
             continue
-        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
+        if tag in VOID or attrs.endswith("/") and not block:
             continue
         parent = stack[-1]
         name, bad = _judge(tag, attrs, parent)
-        if bad and not parent.bad and tag not in BLOCK:
-            flush()
-        parent.children.append(name)
-        stack.append(Node(tag, f"{parent.path}/{name}", parent.bad or bad, (parent.inside or tag in ("article", "main")) and not (parent.bad or bad)))
+        key = _hash(name, parent.key)
+        bad = bad or key in low
+        parent.home.children.append(name)
+        inside = (parent.inside or tag in ("article", "main")) and not (parent.bad or bad)
+        stack.append(Node(tag, key, None if block else parent.home, parent.depth + 1, parent.bad or bad, parent.mute or bad and not block, inside))
     flush()
     close(1)
-    return blocks, styles
+    return blocks
+
 
+def _article(blocks: list[tuple[Node, int, bool, str]]) -> list[tuple[Node, str]]:
+    """The blocks that stay: those inside articles where there are any."""
+    good = [(node, text) for node, _, removed, text in blocks if not removed]
+    return [x for x in good if x[0].inside] or good
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
+def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
+    """The article of a page without the branches and texts whose keys are in ``low``.
 
-PAGES, CONTENT, STYLE = 0, 1, 2
-_STATS = "host long, path long, kind int, feature long, n long"
+    Where that would leave nothing of an article that is marked as one, the tree has no say.
+    """
+    kept = _article(parse(html, low))
+    if not kept and low:
+        kept = [x for x in _article(parse(html)) if x[0].inside]
+    return "\n\n".join(text for _, text in kept)
+
+
+_PAGE = "page_id long, host long, same long, nodes array<struct<node:long,parent:long,depth:int,fixed:boolean,style:long>>, texts array<struct<node:long,text:long>>"
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pages by node, by node and text, and by node and presentation; summed up within a batch."""
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a page adds to the tree of its host, and a hash of the text it has without the tree."""
+    node_type = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("fixed", pa.bool_()), ("style", pa.int64())])
+    text_type = pa.struct([("node", pa.int64()), ("text", pa.int64())])
     for batch in batches:
-        seen: Counter = Counter()
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
-            blocks, styles = parse(html.as_py() or "")
-            found = set()
-            for path, _, _, text in blocks:
-                p = _hash(path)
-                found |= {(p, PAGES, 0), (p, CONTENT, _hash(text))}
-            for path, kids in styles:
-                found.add((_hash(path), STYLE, _hash(kids)))
-            seen.update((host, *f) for f in found)
-        columns = list(zip(*((*k, n) for k, n in seen.items()))) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in _STATS.split(", ")])
-
-
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the text-bearing nodes of every host's style tree.
-
-    Content: one less the mean entropy of a text over the pages of its node
-    (0 for a text of one page, 1 for a text of all).  Presentation: entropy of
-    the sequences of children.  Both to the base of the number of pages.
+        same, nodes, texts = [], [], []
+        for html in batch.column("html"):
+            shown = []
+            blocks = parse(html.as_py() or "", shown=shown)
+            same.append(_signed(_hash("\n\n".join(text for _, text in _article(blocks)))))
+            rows = {(n.key, up.key, n.depth, n.tag in ROOTS or n.inside and n.tag in LABELS, style) for n, up, style in shown}
+            nodes.append([dict(zip(("node", "parent", "depth", "fixed", "style"), (_signed(k), _signed(p), d, f, _signed(s)))) for k, p, d, f, s in sorted(rows)])
+            texts.append([{"node": _signed(k), "text": _signed(t)} for k, t in sorted({(node.key, key) for node, key, _, _ in blocks})])
+        columns = [batch.column("page_id"), batch.column("host"), pa.array(same, pa.int64()), pa.array(nodes, pa.list_(node_type)), pa.array(texts, pa.list_(text_type))]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "same", "nodes", "texts"])
+
+
+def noise(nodes: list[dict], low: float = LOW) -> list[int]:
+    """Roots of the branches to cut, among the judged nodes of a host.
+
+    A node with ``styles`` presentations of entropy ``presentation`` has the
+    importance (1 - d^styles) * presentation + d^styles * (mean importance of
+    its texts and children, by pages).  Children too rare to be judged count as
+    important, with their pages ``loose``.  A branch is cut where its root and
+    every judged node in it with text below is under ``low``.
     """
-    counts = pages.select("host", "html").mapInArrow(_stats, _STATS).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    kind = lambda k, x: F.when(F.col("kind") == k, x)
-    n = F.col("n").cast("double")
-    sums = counts.groupBy("host", "path").agg(
-        F.max(kind(PAGES, F.col("n"))).alias("pages"),
-        F.avg(kind(CONTENT, F.ln(n))).alias("spread"),
-        F.sum(kind(STYLE, n)).alias("shown"),
-        F.sum(kind(STYLE, n * F.ln(n))).alias("same"),
-    )
-    base = F.ln(F.col("pages").cast("double"))
-    content = 1 - F.col("spread") / base
-    presentation = F.coalesce((F.ln("shown") - F.col("same") / F.col("shown")) / base, F.lit(0.0))
-    return sums.filter("pages > 1").select("host", "path", "pages", (CONTENT_SHARE * content + (1 - CONTENT_SHARE) * presentation).alias("importance"))
-
-
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """(host, html) of ``pages`` (page_id, host, html), one row for every html of a host; only copied pages are shuffled."""
-    rows = pages.select("page_id", "host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("same"))
-    copied = rows.groupBy("host", "same").agg(F.count("*").alias("n")).filter("n > 1").select("host", "same", F.lit(True).alias("copied"))
-    rows = lookup(rows, copied, ["host", "same"], F.col("page_id"))
-    one = rows.filter("copied").groupBy("host", "same").agg(F.first("html").alias("html"))
-    return rows.filter("copied is null").select("host", "html").unionByName(one.select("host", "html"))
-
-
-def main_text(html: str, low=frozenset()) -> str:
-    """The article of a page without the nodes whose path hashes are in ``low``.
-
-    Text inside article or main elements is the page's text where there is any.
-    There the style tree removes only nodes that are neither headings nor
-    paragraphs, so that copies of an article under many addresses keep it.
-    """
-    blocks, _ = parse(html)
-    good = [(path, inside, text) for path, bad, inside, text in blocks if not bad]
-    within = [(path, text) for path, inside, text in good if inside]
-    if within:
-        kept = [text for path, text in within if not low or re.search(r"/(?:h[1-6]|p|pre|blockquote)(?:\.[^/]*)?$", path) or _hash(path) not in low]
-    else:
-        kept = [text for path, _, text in good if not low or _hash(path) not in low]
-    return "\n\n".join(kept)
+    total, weight, clean = defaultdict(float), defaultdict(float), defaultdict(bool)
+    noisy = {}
+    for n in sorted(nodes, key=lambda n: -n["depth"]):
+        key, up = n["node"], n["parent"]
+        w = weight[key] + n["loose"] + n["texts"]
+        if not w:
+            continue
+        inner = (total[key] + n["loose"] + n["texts"] * n["content"]) / w
+        share = DAMPING ** n["styles"]
+        value = (1 - share) * n["presentation"] + share * inner
+        important = clean[key] or value >= low
+        clean[up] = clean[up] or important
+        total[up] += value * n["pages"]
+        weight[up] += n["pages"]
+        if not important:
+            noisy[key] = up, n["fixed"]
+    return [key for key, (up, fixed) in noisy.items() if not fixed and (up not in noisy or noisy[up][1])]
+
+
+def _noise(low: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [noise(nodes, low) for nodes in batch.column("nodes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.int64()))], ["host", "low"])
+
+    return run
+
+
+class StyleTree:
+    """The merged tree of every host of ``pages`` (page_id, host, html): tables of hosts, nodes and texts."""
+
+    def __init__(self, pages: DataFrame):
+        facts = materialize(pages.mapInArrow(_facts, _PAGE), "facts")
+        body = F.min_by(F.struct("nodes", "texts"), F.struct("page_id", F.xxhash64("nodes", "texts"))).alias("body")
+        # One page of each text, the same in every run; copies meet before the shuffle.
+        pages = materialize(facts.groupBy("host", "same").agg(body).select("host", "body.*"), "distinct")
+        self.hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= JUDGED_PAGES)
+        self.styles = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "node", "parent", "depth", "fixed", "style").agg(F.count("*").alias("n"))
+        self.texts = pages.select("host", F.explode("texts").alias("x")).select("host", "x.*").groupBy("host", "node", "text").agg(F.count("*").alias("n"))
+
+    def nodes(self) -> DataFrame:
+        """(host, node, parent, depth, fixed, pages, judged, styles, presentation, texts, content) of the hosts that can be judged.
+
+        Entropies are to the base of the node's pages: presentation is that of
+        its sequences of children; content is 1 less the mean entropy of a text
+        over the pages, 0 where all pages have the same.
+        """
+        n = F.col("n").cast("double")
+        rows = self.styles.groupBy("host", "node").agg(F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.max("fixed").alias("fixed"), F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum(n * F.ln(n)).alias("same"))
+        rows = lookup(rows, self.hosts, ["host"], F.col("node"), "inner")
+        words = self.texts.groupBy("host", "node").agg(F.sum("n").alias("shows"), F.avg(F.ln(n)).alias("spread"))
+        rows = rows.join(words, ["host", "node"], "left")
+        pages = F.col("pages").cast("double")
+        base = F.when(F.col("pages") > 1, F.ln(pages))
+        return rows.select(
+            *("host", "node", "parent", "depth", "fixed", "pages"),
+            (F.col("pages") >= F.greatest(F.lit(float(JUDGED_PAGES)), JUDGED_SHARE * F.col("host_pages"))).alias("judged"),
+            F.least("styles", F.lit(1000)).cast("int").alias("styles"),
+            F.coalesce((F.ln(pages) - F.col("same") / pages) / base, F.lit(1.0)).alias("presentation"),
+            F.least(F.coalesce("shows", F.lit(0)), "pages").alias("texts"),
+            F.coalesce(1 - F.col("spread") / base, F.lit(1.0)).alias("content"),
+        )
+
+    def template(self, low: float = LOW) -> DataFrame:
+        """(host, low): keys of the branches and texts to cut from the pages of a host."""
+        nodes = materialize(self.nodes(), "nodes")
+        loose = nodes.filter("NOT judged").groupBy("host", "parent").agg(F.sum("pages").alias("loose")).withColumnRenamed("parent", "node")
+        judged = nodes.filter("judged").drop("judged").join(loose, ["host", "node"], "left").withColumn("loose", F.coalesce("loose", F.lit(0)))
+        row = F.struct(*(c for c in judged.columns if c != "host"))
+        branches = judged.groupBy("host").agg(F.collect_list(row).alias("nodes")).mapInArrow(_noise(low), "host long, low array<long>")
+        often = lookup(self.texts.filter(F.col("n") >= JUDGED_PAGES), self.hosts, ["host"], F.col("text"), "inner")
+        often = often.filter((F.col("n") >= TEXT_SHARE * F.col("host_pages")) & (1 - F.ln(F.col("n").cast("double")) / F.ln(F.col("host_pages").cast("double")) < low))
+        rows = branches.select("host", F.explode("low").alias("key")).unionByName(often.select("host", F.col("text").alias("key")))
+        return rows.groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("low"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, keys = None, frozenset()
     for batch in batches:
-        low = batch.column("low").to_pylist()
-        texts = [main_text(h.as_py() or "", frozenset(x or ())) for h, x in zip(batch.column("html"), low)]
+        texts = []
+        for html, low in zip(batch.column("html"), batch.column("low").to_pylist()):
+            if low != last:
+                last, keys = low, frozenset(k % (1 << 64) for k in low or ())
+            texts.append(main_text(html.as_py() or "", keys))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    A null html is an empty page with an empty text.  Pages without a host in
-    their url (null urls too) belong to no site and are judged by their
-    elements alone.  Rows that repeat a page_id are pages like any other.
+    A null or empty html is an empty page with an empty text; a text of any
+    length is parsed whole.  Pages without a host in their url (null urls too)
+    belong to no site and are judged by their elements alone, as are pages of a
+    host of fewer than three distinct pages.  Rows that repeat a page_id are
+    pages like any other.  Other columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.when(host != "", F.xxhash64(host)).alias("host"))
-    nodes = materialize(importance(distinct_pages(rows.filter("host is not null"))), "nodes")
-    template = nodes.filter((F.col("pages") >= min_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("low"))
+    template = StyleTree(rows.filter("host is not null").select("page_id", "host", "html")).template(low)
     rows = lookup(rows, template, ["host"], F.col("page_id")).select("page_id", "url", "html", "low")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -43,26 +43,79 @@ def test_documents_pages(spark, sf):
         ("<title>t</title><textarea>x</textarea>", ""),
         ("<p>pre-­fix 　 wide</p>", "pre-­fix wide"),
         ("", ""),
+        ("<article><h2 id='related-work'>R</h2><p id='notice'>a</p><h2 id='legal' class='menu'>L</h2><section id='discussion'><p>b</p></section></article>", "R\n\na\n\nL\n\nb"),
+        ("<article><p>one <button>x</button>two <span class='share'>no <b>nor</b></span>three</p></article>", "one two three"),
+        ("<article><p>sum <math><mi>x</mi></math> end</p><xmp>a<b>&amp;</xmp></article>", "sum x end\n\na<b>&amp;"),
+        ("<article><p>a</p><div id='discussion'><p>reader</p></div><div id='comments'>reader</div></article>", "a"),
+        ("<div><p>a <button>l<div>m</div></button> b</p></div>", "a b"),
     ],
 )
 def test_rules(page, text):
     assert main_text(page) == text
 
 
-def site(n):
+def own(i, name, n=30):
+    return " ".join(f"{name}{i}x{j}" for j in range(n))
+
+
+def site(n, host="s"):
+    """Pages without any telling name or element: only the comparison of pages shows their template."""
     rows = []
     for i in range(n):
-        own = " ".join(f"word{i}x{j}" for j in range(30))
-        rows.append((i, f"http://s.example/{i}", f"<body><div class=x1><a>Home</a> <a>About</a></div><div class=x2>Part of {i % 3}</div><div class=x3><p>{own}</p><p>second {own}</p></div><div class=x4>All rights</div></body>"))
+        rows.append((i, f"http://{host}.example/{i}", f"<body><div class=x1><a>Home</a> <a>About</a></div><div class=x2>Part of {i % 3}</div><div class=x3><p>{own(i, 'a')}</p><p>second {own(i, 'b')}</p></div><div class=x4>All rights<ul><li>one</li><li>two</li></ul></div></body>"))
     return rows
 
 
-def test_style_tree_finds_unmarked_template(spark):
-    rows = site(40)
-    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
-    for i, _, _ in rows:
-        own = " ".join(f"word{i}x{j}" for j in range(30))
-        assert out[i] == f"{own}\n\nsecond {own}"
+def extracted(spark, rows, **options):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES), **options).collect()}
+
+
+@pytest.mark.parametrize("n", [40, 6])
+def test_style_tree_finds_unmarked_template(spark, n):
+    out = extracted(spark, [r if n > 20 else (r[0], r[1], r[2].replace(f"Part of {r[0] % 3}", "Part")) for r in site(n)])
+    assert out == {i: f"{own(i, 'a')}\n\nsecond {own(i, 'b')}" for i in range(n)}
+
+
+def test_without_the_tree_the_template_stays(spark):
+    assert all("All rights" in t and "Home" in t for t in extracted(spark, site(40), low=-1.0).values())
+
+
+def test_the_tree_decides_inside_articles(spark):
+    rows = []
+    for i in range(12):
+        body = f"<h1>T{i}</h1><p>{own(i, 'a')}</p><p>Share this story</p><div class=q><div><p>More like this</p><ul><li>old</li></ul></div></div><h2>Parts</h2><ul><li>salt</li><li>{own(i, 'c', 3)}</li></ul><table><tr><th>size</th><td>{i}</td></tr></table>"
+        rows.append((i, f"http://s.example/{i}", f"<body><article>{body}</article></body>"))
+    for i, text in extracted(spark, rows).items():
+        assert text == "\n\n".join([f"T{i}", own(i, "a"), "Parts", "salt", own(i, "c", 3), "size", str(i)])
+
+
+def test_only_the_part_of_a_branch_that_is_the_same_everywhere_goes(spark):
+    rows = [(i, f"http://s.example/{i}", f"<body><div class=a><p>{own(i, 'a')}</p></div><div class=b><div class=c><span>lead</span></div><div class=d>{own(i, 'd', 2)}</div></div></body>") for i in range(10)]
+    for i, text in extracted(spark, rows).items():
+        assert text == f"{own(i, 'a')}\n\n{own(i, 'd', 2)}"
+
+
+def test_noise_against_its_definition():
+    node = lambda key, up, depth, **x: {"node": key, "parent": up, "depth": depth, "fixed": False, "pages": 10, "styles": 1, "presentation": 0.0, "texts": 0, "content": 1.0, "loose": 0} | x
+    menu, item, body = node(2, 1, 2), node(3, 2, 3, texts=10, content=0.0), node(4, 1, 2, texts=10, content=1.0)
+    root = node(1, 0, 1, fixed=True)
+    assert html_extract.noise([root, menu, item, body]) == [2]
+    assert html_extract.noise([root, menu | {"loose": 10}, item, body]) == [3]
+    assert html_extract.noise([root, menu, item | {"fixed": True}, body]) == [2]
+    assert html_extract.noise([root, menu | {"styles": 40, "presentation": 0.9}, item, body]) == [3]
+    assert html_extract.noise([root, menu, item]) == [2] and html_extract.noise([]) == []
+
+
+def test_copies_under_other_chrome_keep_their_article(spark):
+    rows = [(i, f"http://s.example/{i}", f"<nav>menu {i}</nav><div class=ad>buy {i}</div><article><p>the same story</p><div><p>everywhere</p></div></article>") for i in range(20)]
+    rows += [(100 + i, f"http://s.example/o{i}", f"<nav>menu</nav><article><p>{own(i, 'z')}</p></article>") for i in range(10)]
+    out = extracted(spark, rows)
+    assert {out[i] for i in range(20)} == {"the same story\n\neverywhere"} and out[103] == own(3, "z")
+
+
+def test_results_do_not_depend_on_the_order_of_pages(spark):
+    rows = site(12) + [(50 + i, f"http://s.example/c{i}", f"<nav>{i}</nav>{site(1)[0][2]}") for i in range(5)]
+    assert extracted(spark, rows) == extracted(spark, rows[::-1])
 
 
 def test_join_path_gives_the_same(spark, monkeypatch):
