@@ -69,7 +69,7 @@ def _odds(p: Column) -> Column:
 class Mix:
     """The decisions of one mix: expected copies, rank and cutoff, as expressions over rows and a table per source."""
 
-    def __init__(self, docs: DataFrame, weight: str | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED):
+    def __init__(self, docs: DataFrame, weight: str | Column | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED):
         self.weight, self.most, self.seed = weight, most, seed
         sized = materialize(self.sized(docs).select("doc_id", "text_hash", "source_key", "source", "size", "value"), "sizes")
         totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -79,8 +79,9 @@ class Mix:
         self.rows = sized
 
     def sized(self, docs: DataFrame) -> DataFrame:
-        value = F.coalesce(F.col(self.weight).cast("double"), F.lit(0.0)) if self.weight else F.lit(1.0)
-        return docs.withColumn("text_hash", F.xxhash64("text")).withColumn("source_key", _key("source")).withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("value", value)
+        weight = F.col(self.weight) if isinstance(self.weight, str) else self.weight
+        value = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
+        return docs.withColumn("value", value).withColumn("text_hash", F.xxhash64("text")).withColumn("source_key", _key("source")).withColumn("size", F.size(words(F.col("text"))).cast("long"))
 
     def _rates(self, sized: DataFrame) -> DataFrame:
         """Copies per unit of weight and source, with documents held at ``most`` copies."""
@@ -140,25 +141,31 @@ def _key(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source)))
 
 
-def mix(docs: DataFrame, weight: str | None = None, seed: int = SEED) -> DataFrame:
+def by_length(text: str = "text") -> Column:
+    """An inclusion weight that prefers long texts without leaving short ones out: the logarithm of the length."""
+    return F.log2(F.length(text) + F.lit(2))
+
+
+def mix(docs: DataFrame, weight: str | Column | None = None, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, n_copies, taken.
 
     Null and empty texts have no words, and their copies take none.  A null
     source is a source of its own, the last in order.  Rows that repeat doc_id
     and text share a random number and are taken or left together.  ``weight``
-    names a column of relative inclusion weights (null: 0); without it all
-    documents of a source are equally likely.
+    is a column of relative inclusion weights (null or negative: 0), by its name
+    or as an expression; without it all documents of a source are equally
+    likely.  The sample has a fixed size in words, the target of its source.
+    Texts of any length are sized whole; other columns of ``docs`` are not read.
     """
     m = Mix(docs, weight, seed=seed)
     rows = m.decide(m.rows)
     return rows.select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
-def repeat_by_mix(docs: DataFrame, weight: str | None = None, seed: int = SEED) -> DataFrame:
+def repeat_by_mix(docs: DataFrame, weight: str | Column | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
     own = F.struct(*(F.col(c) for c in docs.columns))
     m = Mix(docs, weight, seed=seed)
-    rows = docs.select("doc_id", "text", "source", *([weight] if weight else []), own.alias("_row"))
-    rows = m.decide(m.sized(rows))
+    rows = m.decide(m.sized(docs.withColumn("_row", own)).select("_row", "doc_id", "text_hash", "source", "source_key", "size", "value"))
     copy = F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int")))
     return rows.filter("n_copies > 0").select("_row", copy).select("_row.*")

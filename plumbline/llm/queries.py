@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, linededup, minhash, mixing, packing, pii, quality, search, token_rollup, warc
-from .common import read, scratch_path
+from .common import materialize, read, scratch_path
 
 TOKENIZER_JSON = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,22 +48,29 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), mixing.by_length())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).drop("text_hash", "host")
 
 
+#: Documents under so many characters are taken out of the rollup again.
+SHORTEST = 20
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads every document with an estimated count, revises it to the tokenizer's, and sends both batches twice."""
+    """Loads every document with an estimated count, revises it to the tokenizer's, deletes the very short ones, and sends all batches twice."""
     docs = read(spark, sf_dir, "documents").withColumn("before", F.floor(F.length("text") / 4).cast("long"))
-    loaded = docs.select("source", "lang", F.lit(TOKENIZER).alias("tokenizer"), F.lit("insert").alias("op"), F.col("before").alias("n_tokens"), F.lit(None).cast("long").alias("before"))
-    counted = token_rollup.count_tokens(docs, TOKENIZER_JSON, TOKENIZER_RANKS, public_tokenizers.PATTERN)
-    revised = counted.withColumn("tokenizer", F.lit(TOKENIZER)).withColumn("op", F.lit("revise"))
+    change = lambda df, op: df.withColumn("tokenizer", F.lit(TOKENIZER)).withColumn("op", F.lit(op))
+    loaded = change(docs.select("source", "lang", F.col("before").alias("n_tokens"), F.lit(None).cast("long").alias("before")), "insert")
+    counted = materialize(token_rollup.count_tokens(docs, TOKENIZER_JSON, TOKENIZER_RANKS, public_tokenizers.PATTERN), "counted")
+    short = counted.filter(F.coalesce("before", F.lit(0)) < SHORTEST // 4)
     rollup = token_rollup.Rollup(spark, scratch_path(spark, "rollup"))
-    for batch, changes in [("load-1", loaded), ("revise-1", revised), ("load-1", loaded), ("revise-1", revised)]:
-        rollup.commit(batch, changes)
+    for _ in range(2):
+        for batch, changes in [("load-1", loaded), ("revise-1", change(counted, "revise")), ("delete-1", change(short, "delete"))]:
+            rollup.commit(batch, changes)
+    rollup.compact()
     return rollup.totals()
 
 

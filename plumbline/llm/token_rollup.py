@@ -2,10 +2,15 @@
 
 A change is an insert, a delete or a revision of one document's count.  A batch
 of changes is summed by source, language and tokenizer version and written as a
-few signed rows; the batch counts once its commit file, made by an exclusive
-create, names the attempt whose rows are to be read.  Batches can be sent
-again, raced or lost half-way: totals are the sum over committed attempts, in
-any order.
+few signed rows; the batch counts once its commit file names the attempt whose
+rows are to be read.  That file is written as a draft and renamed into place
+without overwriting, so it is there whole or not at all.  Batches can be sent
+again, raced or lost half-way.
+
+Totals are a base and the deltas of the batches committed since.  After
+``COMPACT`` of those a new base is summed up and published by a manifest that
+lists the batches in it, again by a rename; who reads meanwhile, or compacts at
+the same time, sees one base or the other, and each batch once.
 """
 
 from __future__ import annotations
@@ -14,13 +19,15 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import Encoder
 
 KEYS = ["source", "lang", "tokenizer"]
-OPS = ("insert", "delete", "revise")
+#: Batches beside the base before a new base is summed up.
+COMPACT = 64
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -35,7 +42,10 @@ def _counts(json_path: str, ranks_path: str | None, pattern: str | None):
 
 
 def count_tokens(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """source, lang, before, n_tokens per row; ``before`` passes through (null text: 0 tokens)."""
+    """source, lang, before, n_tokens per row; ``before`` passes through.
+
+    A null or empty text has 0 tokens; texts of any length are encoded whole.  Other columns are not read.
+    """
     return docs.select("source", "lang", "before", "text").mapInArrow(_counts(json_path, ranks_path, pattern), "source string, lang string, before long, n_tokens long")
 
 
@@ -55,12 +65,19 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals below ``path``, a folder that driver and executors share."""
+    """Totals below ``path``, a folder that driver and executors share.
+
+    ``deltas/batch/attempt`` and ``bases/attempt`` are tables; ``commits/batch``
+    has the attempt of a batch, ``manifests/number`` the attempt of a base and
+    the ids of its batches.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compact: int = COMPACT):
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(conf)
+        self._files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(self._at("")).toUri(), conf)
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -68,38 +85,78 @@ class Rollup:
     def _names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder))) if self._fs.exists(self._at(folder)) else []
 
+    def _publish(self, name: str, text: str) -> bool:
+        """Makes the file ``name`` with its whole text; False where there is one already."""
+        draft = self._at(f"drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.mkdirs(self._at(name).getParent())
+        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.NONE
+        try:
+            self._files.rename(draft, self._at(name), how)
+        except Py4JJavaError:
+            self._fs.delete(draft, False)
+            if self._fs.exists(self._at(name)):
+                return False
+            raise
+        return True
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if not text:
+            raise OSError(f"{self.path}/{name} is empty: its batch is in doubt")
+        return text
+
     def committed(self) -> list[str]:
         """Ids of the batches that count."""
         return [n for n in self._names("commits") if not n.startswith(".")]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch once; False where a batch of that id counts already."""
-        if not batch or "/" in batch or batch.startswith((".", "_")):
+        if not batch or "/" in batch or "\n" in batch or batch.startswith((".", "_")):
             raise ValueError(f"no batch id: {batch!r}")
         if self._fs.exists(self._at(f"commits/{batch}")):
+            self._text(f"commits/{batch}")
             return False
         attempt = uuid.uuid4().hex
         deltas(changes).write.parquet(f"{self.path}/deltas/{batch}/{attempt}")
-        try:
-            out = self._fs.create(self._at(f"commits/{batch}"), False)
-        except Exception as e:  # the other writer of the same batch was first
-            if self._fs.exists(self._at(f"commits/{batch}")):
-                return False
-            raise e
-        out.write(bytearray(attempt.encode()))
-        out.close()
+        if not self._publish(f"commits/{batch}", attempt):
+            return False
+        if len(self._state()[1]) > self.compact_after:
+            self.compact()
         return True
 
-    def _attempt(self, batch: str) -> str:
-        stream = self._fs.open(self._at(f"commits/{batch}"))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+    def _state(self) -> tuple[str | None, list[str], set[str], int]:
+        """Folder of the base, batches committed since, batches in the base, and the number of its manifest."""
+        numbers = [int(n) for n in self._names("manifests") if n.isdigit()]
+        if not numbers:
+            return None, self.committed(), set(), 0
+        base, *inside = self._text(f"manifests/{max(numbers):09d}").split("\n")
+        inside = set(inside)
+        return f"{self.path}/bases/{base}", [b for b in self.committed() if b not in inside], inside, max(numbers)
+
+    def _sums(self, base: str | None, batches: list[str]) -> DataFrame:
+        paths = [*([base] if base else []), *(f"{self.path}/deltas/{b}/{self._text(f'commits/{b}')}" for b in batches)]
+        rows = self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], _TOTALS)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> bool:
+        """Sums what is committed into a new base; False where another writer published one meanwhile."""
+        base, batches, inside, number = self._state()
+        if not batches:
+            return False
+        attempt = uuid.uuid4().hex
+        self._sums(base, batches).write.parquet(f"{self.path}/bases/{attempt}")
+        return self._publish(f"manifests/{number + 1:09d}", "\n".join([attempt, *sorted(inside), *batches]))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches; keys whose sums are all 0 are gone."""
-        paths = [f"{self.path}/deltas/{b}/{self._attempt(b)}" for b in self.committed()]
-        rows = self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], _TOTALS)
-        rows = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return rows.filter("n_docs <> 0 OR n_tokens <> 0")
+        base, batches, _, _ = self._state()
+        return self._sums(base, batches).filter("n_docs <> 0 OR n_tokens <> 0")

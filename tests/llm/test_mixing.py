@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 from fractions import Fraction
 
@@ -76,9 +77,29 @@ def test_unequal_weights_draw_likelier_documents_more_often(docs):
     assert rich == 2.0 and 1.25 < poor < 1.42  # 3 * 1.0 is held at 2 copies, the rest share what is left
 
 
+def test_the_weights_of_the_query_reach_their_targets(documents):
+    rows = mixing.mix(documents, mixing.by_length()).collect()
+    check(rows)
+    # Within a source the whole copies and the chance of one more follow the logarithm of the length.
+    m = mixing.Mix(documents, mixing.by_length())
+    found = m._ranked(m.sized(documents).join(m.table.select("source_key", "rate"), "source_key")).select("source_key", "text", "copies", "rate").collect()
+    for r in found:
+        assert abs(r.copies - min(2.0, math.log2(len(r.text) + 2) * r.rate)) < 1e-9
+    assert len({round(r.copies, 6) for r in found if r.copies < 2}) > 20
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(documents.repartition(3), mixing.by_length()).collect()), key=repr)
+
+
+def test_very_long_texts_and_clashing_columns(docs):
+    rows = [(i, f"w{i} " * 50, "a") for i in range(40)] + [(99, "x " * 300000, "b"), (98, "y", "b"), (97, None, "b")]
+    df = docs(rows, {"value": F.lit("v"), "size": F.lit(1), "rate": F.lit(1), "source_key": F.lit("k"), "_row": F.lit(0)})
+    check(mixing.mix(df, mixing.by_length()).collect())
+    out = mixing.repeat_by_mix(df, mixing.by_length())
+    assert out.dtypes == df.dtypes and out.count() > 0
+
+
 def test_repeat_by_mix_matches_the_decisions(documents):
-    want = {(r.doc_id, r.n_copies) for r in mixing.mix(documents).collect() if r.n_copies}
-    out = mixing.repeat_by_mix(documents)
+    want = {(r.doc_id, r.n_copies) for r in mixing.mix(documents, mixing.by_length()).collect() if r.n_copies}
+    out = mixing.repeat_by_mix(documents, mixing.by_length())
     assert out.columns == documents.columns
     assert {(r.doc_id, r["count"]) for r in out.groupBy("doc_id").count().collect()} == want
 
