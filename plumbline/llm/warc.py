@@ -3,7 +3,9 @@
 An archive is a folder of two Parquet tables.  ``headers`` has one row per
 record with the exact bytes of its WARC and HTTP headers and the SHA-256 of its
 payload; ``payloads`` has every distinct payload once under that digest, which
-is computed again from the stored bytes whenever the archive is read.
+is computed again from the stored bytes whenever the archive is read.  Records
+are put together by a join of the two on the digest; a digest of very many
+records is dealt over several tasks, each with its own copy of the payload.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import lookup, materialize
 
 DATE = "2024-01-01T00:00:00Z"
+_CONTROL = r"[\x00-\x1F\x7F-\x9F\u2028\u2029]"
+#: Records of one payload that one task puts together.
+GROUP = 1024
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -31,10 +36,15 @@ def _record_id(page: Column, sha256: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
+def _clean(text: Column) -> Column:
+    """Control characters and line separators, which no header can hold, percent-encoded."""
+    encoded = lambda c: F.when(c.rlike(_CONTROL), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    return F.when(text.rlike(_CONTROL), F.array_join(F.transform(F.split(text, ""), encoded), "")).otherwise(text)
+
+
 def _line(name: str, value: Column) -> Column:
-    """A header line; none where the value is null.  Control characters, which no header can hold, are percent-encoded."""
-    clean = value.cast("string")
-    clean = F.replace(F.replace(clean, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """A header line; none where the value is null."""
+    clean = _clean(value.cast("string"))
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n"))).otherwise("")
 
 
@@ -69,6 +79,7 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", min_bytes:
     page_id is the response, the others revisit it.  A null payload is empty; a
     null url has no target line; a null page_id is smaller than any other.
     Rows that repeat page_id and payload of a response are responses too.
+    Payloads of any length are stored whole.  Other columns are not read.
 
     Texts are read twice and shuffled only where they repeat: distinct payloads
     go straight to the store, and the groups of equal ones are a lookup table.
@@ -90,47 +101,51 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", min_bytes:
     once.unionByName(again).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records: page_id, record_type and the exact ``record`` bytes.
-
-    A revisit is its headers; a response takes its payload by a join on the
-    digest, which among responses is unique.
-    """
-    heads = spark.read.parquet(f"{path}/headers")
+def _assembled(spark: SparkSession, path: str) -> DataFrame:
+    """Every record's header with the stored bytes of its payload: header, sha256, payload."""
+    heads = spark.read.parquet(f"{path}/headers").select("sha256", "header")
     store = spark.read.parquet(f"{path}/payloads")
-    end = F.lit(b"\r\n\r\n")
-    full = heads.filter("record_type = 'response'").join(store, "sha256").select("page_id", "record_type", F.concat("header", "payload", end).alias("record"))
-    return full.unionByName(heads.filter("record_type = 'revisit'").select("page_id", "record_type", F.concat("header", end).alias("record")))
+    hot = heads.groupBy("sha256").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("sha256", F.ceil(F.col("n") / GROUP).cast("long").alias("ways"))
+    hot = materialize(hot, "hot")
+    ways = F.coalesce("ways", F.lit(1).cast("long"))
+    heads = lookup(heads.withColumn("at", F.monotonically_increasing_id()), hot, ["sha256"], F.col("at")).select("sha256", "header", F.pmod("at", ways).alias("way"))
+    store = lookup(store, hot, ["sha256"], F.col("sha256")).select("sha256", "payload", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    return heads.join(store, ["sha256", "way"], "left").drop("way")
 
 
 def field(header: Column, name: str) -> Column:
-    """A field of header bytes; null where it is missing."""
-    return F.nullif(F.regexp_extract(header.cast("string"), f"(?m)^{name}: ([^\\r\\n]*)$", 1), F.lit(""))
+    """A field of header bytes, by the first line that states it; null where none does."""
+    lines = F.split(header.cast("string"), "\r\n", -1)
+    return F.substring(F.get(F.filter(lines, lambda x: x.startswith(f"{name}: ")), F.lit(0)), F.lit(len(name) + 3), F.octet_length(header))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """The original records: page_id, record_type, exact ``header`` and ``record`` bytes, the ``payload`` they stand for, ``sha256`` as archived.
+
+    A response is its headers, its payload and the end of a record; a revisit
+    has no payload of its own, and ``payload`` is that of the record it refers
+    to.  A payload that the archive has lost is null, and so is its response.
+    """
+    end = F.lit(b"\r\n\r\n")
+    rows = _assembled(spark, path).withColumn("record_type", field(F.col("header"), "WARC-Type")).withColumn("page_id", field(F.col("header"), "WARC-Page-ID").cast("long"))
+    record = F.when(F.col("record_type") == "revisit", F.concat("header", end)).otherwise(F.concat("header", "payload", end))
+    return rows.select("page_id", "record_type", "header", record.alias("record"), "payload", "sha256")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of every record, checked against the stored bytes.
+    """What the reconstructed records say, checked against the bytes they hold.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
-    ``verified`` holds where the stored bytes have the SHA-256 they are stored
-    under and the SHA-1 and length that the record's own headers state.
+    Fields come from the record's own headers, payload length and digest from
+    its payload.  ``verified`` holds where the payload has the SHA-256 it is
+    stored under and the SHA-1 and length that the headers state.
     """
-    heads = spark.read.parquet(f"{path}/headers")
-    heads = heads.select(
-        "sha256",
-        field(F.col("header"), "WARC-Page-ID").cast("long").alias("page_id"),
-        field(F.col("header"), "WARC-Type").alias("record_type"),
-        F.substring_index(field(F.col("header"), "WARC-Payload-Digest"), ":", -1).alias("stated"),
-        F.regexp_extract(F.col("header").cast("string"), r"Content-Length: (\d+)\r\n\r\n\z", 1).cast("long").alias("stated_bytes"),
-        field(F.col("header"), "WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
-    )
-    store = spark.read.parquet(f"{path}/payloads")
-    store = materialize(store.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("sha256")).alias("sound")), "store")
-    revisits = heads.filter("record_type = 'revisit'")
-    shared = store.join(revisits.select("sha256").distinct(), "sha256", "left_semi")
-    found = heads.filter("record_type = 'response'").join(store, "sha256", "left").unionByName(lookup(revisits, shared, ["sha256"], F.col("page_id")))
-    sound = F.coalesce(F.col("sound") & (F.col("payload_digest") == F.col("stated")) & (F.col("payload_bytes") == F.col("stated_bytes")), F.lit(False))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", sound.alias("verified"))
+    rows = records(spark, path).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    stated = F.regexp_extract(F.col("header").cast("string"), r"Content-Length: (\d+)\r\n\r\n\z", 1).cast("long")
+    whole = F.col("record").isNotNull() & (F.sha2("payload", 256) == F.col("sha256")) & (stated == F.col("payload_bytes"))
+    sound = whole & (field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest"))
+    refers = field(F.col("header"), "WARC-Refers-To-Page-ID").cast("long")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"), F.coalesce(sound, F.lit(False)).alias("verified"))
 
 
 def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

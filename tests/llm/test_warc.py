@@ -60,6 +60,48 @@ def test_payloads_are_stored_once_and_records_round_trip(spark, path):
         assert "X-Evil" not in fields
 
 
+EVIL = [
+    (2, "http://a.example/\u2028WARC-Refers-To-Page-ID: 77", "<p>same</p>"),
+    (3, "http://a.example/", "<p>same</p>"),
+    (None, "http://a.example/\x85WARC-Page-ID: 5", "<p>other</p>"),
+    (6, "http://a.example/\nWARC-Type: warcinfo\r\n\r\n\x0b\x0c\x1e\u2029\x00", None),
+]
+
+
+def test_urls_cannot_forge_fields(spark, path):
+    warc.write_archive(spark.createDataFrame(EVIL, PAGES), path)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.verified) for r in warc.read_archive(spark, path).collect()), key=repr)
+    assert got == sorted([(2, "revisit", 3, True), (3, "response", None, True), (None, "response", None, True), (6, "response", None, True)], key=repr)
+    heads = [bytes(r.header).decode() for r in warc.records(spark, path).collect()]
+    assert any("/%E2%80%A8WARC-Refers-To-Page-ID: 77\r\n" in h for h in heads) and any("/%C2%85WARC-Page-ID: 5\r\n" in h for h in heads)
+    assert all(len(h.split("\r\n\r\n")) == 3 for h in heads) and not any(c in h for h in heads for c in "\u2028\u2029\x85\x0b\x0c\x1e\x00")
+
+
+def test_records_stand_for_their_payload(spark, path):
+    warc.write_archive(spark.createDataFrame(ROWS, PAGES), path)
+    by_id = {p: (h or "").encode() for p, _, h in ROWS}
+    for r in warc.records(spark, path).collect():
+        assert bytes(r.payload) == by_id[r.page_id] and bytes(r.record).startswith(bytes(r.header))
+        assert bytes(r.record)[len(r.header) :] == (b"" if r.record_type == "revisit" else by_id[r.page_id]) + b"\r\n\r\n"
+
+
+def test_a_hot_payload_is_dealt_over_tasks(spark, path, monkeypatch):
+    monkeypatch.setattr(warc, "GROUP", 4)
+    rows = [(i, "u", "hot" if i % 3 else f"p{i}") for i in range(60)]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), path)
+    got = warc.read_archive(spark, path).collect()
+    assert sorted((r.page_id, r.payload_digest) for r in got) == [(i, digest(h)) for i, _, h in rows] and all(r.verified for r in got)
+
+
+def test_very_long_pages_and_a_lost_payload(spark, path):
+    rows = [(1, "u", "x" * 3_000_000), (2, "u" * 100_000, "y")]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), path)
+    assert {(r.page_id, r.payload_bytes, r.verified) for r in warc.read_archive(spark, path).collect()} == {(1, 3_000_000, True), (2, 1, True)}
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-bad/headers")
+    spark.read.parquet(f"{path}/payloads").filter("octet_length(payload) > 1").write.parquet(f"{path}-bad/payloads")
+    assert {(r.page_id, r.payload_bytes, r.verified) for r in warc.read_archive(spark, f"{path}-bad").collect()} == {(1, 3_000_000, True), (2, None, False)}
+
+
 def test_small_payloads_are_all_responses(spark, path):
     warc.write_archive(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], PAGES), path, min_bytes=5)
     assert {(r.page_id, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect()} == {(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)}
