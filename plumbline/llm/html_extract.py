@@ -281,10 +281,11 @@ class StyleTree:
     """The merged tree of every host of ``pages`` (page_id, host, html): tables of hosts, nodes and texts."""
 
     def __init__(self, pages: DataFrame):
-        facts = materialize(pages.mapInArrow(_facts, _PAGE), "facts")
-        body = F.min_by(F.struct("nodes", "texts"), F.struct("page_id", F.xxhash64("nodes", "texts"))).alias("body")
-        # One page of each text, the same in every run; copies meet before the shuffle.
-        pages = materialize(facts.groupBy("host", "same").agg(body).select("host", "body.*"), "distinct")
+        facts = pages.mapInArrow(_facts, _PAGE).withColumn("row", F.monotonically_increasing_id()).withColumn("body", F.xxhash64("nodes", "texts"))
+        facts = materialize(facts, "facts")
+        # One page of each text, the same in every run; only the keys of pages are shuffled.
+        copied = facts.groupBy("host", "same").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "body", "row")).alias("first")).filter("n > 1")
+        pages = lookup(facts, copied.select("host", "same", F.col("first.row").alias("one")), ["host", "same"], F.col("row")).filter("one is null or one = row")
         self.hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= JUDGED_PAGES)
         self.styles = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "node", "parent", "depth", "fixed", "style").agg(F.count("*").alias("n"))
         self.texts = pages.select("host", F.explode("texts").alias("x")).select("host", "x.*").groupBy("host", "node", "text").agg(F.count("*").alias("n"))
