@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import threading
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +19,8 @@ from plumbline.plans.roles import role_of
 from plumbline.sources.store import Store, publish
 
 PREVIEW = (1, 50, 1000)
+#: Samples kept in memory.
+SAMPLES = 4
 
 
 class Engine:
@@ -29,6 +31,7 @@ class Engine:
         self.store = Store(spark, root)
         self._profiles: dict[str, Profile] = {}
         self._probes: dict[str, Probes] = {}
+        self._samples: OrderedDict[str, DataFrame] = OrderedDict()
         self._locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
         self._guard = threading.Lock()
 
@@ -60,7 +63,7 @@ class Engine:
                 try:
                     found = Profile.from_json(path.read_text())
                 except (OSError, ValueError):
-                    found = profile_dataset(self.store.frame(key), key, self.threshold)
+                    found = profile_dataset(self.store.frame(key), key, self.threshold, self._sample(key))
                     publish(path, found.to_json())
                 self._profiles[key] = found
             return self._profiles[key]
@@ -79,11 +82,33 @@ class Engine:
     def render(self, key: str, spec: Spec) -> dict:
         return render(self.casted(key), spec, self.profile(key))
 
+    def _sample(self, key: str) -> DataFrame:
+        """The bounded sample that profile and probes share, kept for the few datasets used last."""
+        with self._guard:
+            if key not in self._samples:
+                df, n = self.store.frame(key), self.store.meta(key)["n_rows"]
+                self._samples[key] = (exact_sample(df, self.threshold, total=n) if n > self.threshold else df).persist()
+            self._samples.move_to_end(key)
+            while len(self._samples) > SAMPLES:
+                old, rows = self._samples.popitem(last=False)
+                self._probes.pop(old, None)
+                rows.unpersist()
+            return self._samples[key]
+
     def probe(self, key: str, requests: list[dict]) -> list:
         profile = self.profile(key)
         with self._lock(key):
+            sample = self._sample(key)
             if key not in self._probes:
-                df = self.store.frame(key)
-                rows = exact_sample(df, self.threshold) if profile.n_rows > self.threshold else df
-                self._probes[key] = Probes(typing.apply_casts(rows, {c.name: c.cast for c in profile.columns}).persist(), profile)
-        return self._probes[key].run(requests)
+                self._probes[key] = Probes(typing.apply_casts(sample, {c.name: c.cast for c in profile.columns}), profile)
+            probes = self._probes[key]
+        return probes.run(requests)
+
+    def drop(self, key: str) -> None:
+        """Deletes a dataset and what is kept of it."""
+        self.store.drop(key)
+        with self._guard:
+            self._profiles.pop(key, None)
+            self._probes.pop(key, None)
+            if key in self._samples:
+                self._samples.pop(key).unpersist()

@@ -144,9 +144,10 @@ class Workflow:
                 found.append(Finding(i, req.type, columns, hit["verdict"], hit["effect"], hit["evidence"], "evidence", chart))
         results = self.engine.probe(self.key, [{"type": r.type, "columns": dict(r.columns)} for _, r, _ in queue]) if queue else []
         tested = [(q, r) for q, r in zip(queue, results) if isinstance(r, Result)]
-        held = iter(tails.holm([r.p_value if r.p_value is not None else 0.0 for _, r in tested], ALPHA))
+        with_p = [r.p_value for _, r in tested if r.p_value is not None]
+        held = iter(tails.holm(with_p, ALPHA))
         for (i, req, chart), r in tested:
-            ok = next(held)
+            ok = r.p_value is not None and next(held)  # without a p-value a probe is no member of the family, and no finding
             if r.verdict == "fail" or not ok:
                 self._drop(i, "the probe fails" if r.verdict == "fail" else "not significant among the probes of this run")
             else:

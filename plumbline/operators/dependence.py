@@ -11,11 +11,10 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.functions import tails
-from plumbline.functions.exprs import bucket, finite, label, m2
 from plumbline.operators import evidence
+from plumbline.operators.bounded import Rows
 from plumbline.operators.sampling import exact_sample
 from plumbline.plans.model import Column, Profile
 
@@ -207,43 +206,10 @@ def _compare(groups: list[dict], may_be_strong: bool) -> dict | None:
     }
 
 
-def spread_tables(df: DataFrame, cats: list[str], nums: list[str]) -> dict[tuple[str, str], list[dict]]:
-    """Per (cat, num) and level what :func:`evidence.dispersion_stats` gives, for all pairs in two aggregations."""
-    groupings = F.array(*(F.struct(F.lit(c).alias("_cat"), label(df, c).alias("_level")) for c in cats))
-    rows = df.select(F.inline(groupings), *(finite(df, n).alias(n) for n in nums)).filter("_level is not null")
-    rows = rows.unpivot(["_cat", "_level"], nums, "num", "v").filter("v is not null").withColumnsRenamed({"_cat": "cat", "_level": "level"})
-    keys = ["cat", "level", "num"]
-    mid = rows.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("mid"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    dev, wide = F.abs(F.col("v") - F.col("mid")), 0.1 * (F.col("hi") - F.col("lo"))
-    stats = (
-        rows.join(F.broadcast(mid), keys)
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"),
-            F.stddev_samp("v").alias("std"),
-            (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"),
-            F.percentile(dev, F.lit(0.5)).alias("mad"),
-            F.first("lo").alias("lo"),
-            F.first("hi").alias("hi"),
-            F.sum(dev).alias("dev_sum"),
-            m2(dev).alias("dev_m2"),
-            F.count_if(F.col("v") >= F.col("hi") - wide).alias("top_edge"),
-            F.count_if(F.col("v") <= F.col("lo") + wide).alias("bottom_edge"),
-        )
-    )
-    out: dict[tuple[str, str], list[dict]] = {}
-    for r in stats.collect():
-        out.setdefault((r["cat"], r["num"]), []).append(r.asDict())
-    for g in out.values():
-        g.sort(key=lambda x: x["level"])
-    return out
-
-
-def dispersion(df: DataFrame, cats: list[Column], nums: list[str], derived: list[dict]) -> tuple[list[dict], list[dict]]:
+def dispersion(rows: Rows, cats: list[Column], nums: list[str], derived: list[dict]) -> tuple[list[dict], list[dict]]:
     """Spread differences that clear the gates, and the categories that are bands of a number."""
     if not cats or not nums:
         return [], []
-    tables = spread_tables(df, [c.name for c in cats], nums)
     steps = {n: None for n in nums}
     direct = {frozenset((d["target"], c)): d for d in reversed(derived) for c in d["components"]}
     twins: dict[str, set[str]] = {}
@@ -269,11 +235,11 @@ def dispersion(df: DataFrame, cats: list[Column], nums: list[str], derived: list
     found, bands = [], []
     for c in cats:
         for num in nums:
-            groups = tables.get((c.name, num), [])
+            groups = rows.spread_table(c.name, num)
             why = definition(c.name, num)
             if why is None and len(groups) >= 2 and _disjoint(groups):
                 if steps[num] is None:
-                    steps[num] = evidence.resolution(df, num).first()["resolution"] or 0.0
+                    steps[num] = rows.resolution(num)
                 if is_bucket(groups, steps[num]):
                     why = {"target": c.name, "components": [num], "formula": f"bucket({num})", "kind": "bucket", "match_ratio": 1.0, "n": sum(g["n"] for g in groups)}
                     bands.append(why)
@@ -322,7 +288,7 @@ def interaction(cells: list[dict]) -> dict | None:
     return {"strength": min(1.0, off / total), "n_total": int(n.sum()), "p_value": p}
 
 
-def interactions(df: DataFrame, cats: list[Column], nums: list[str], times: list[Column], effects: list[dict], pearson: dict, n_cats: int, n_nums: int) -> list[dict]:
+def interactions(rows: Rows, cats: list[Column], nums: list[str], times: list[Column], effects: list[dict], pearson: dict, n_cats: int, n_nums: int) -> list[dict]:
     """Of the categories and numbers with the strongest effects, every pair of factors; time buckets count as factors."""
     best_cat: dict[str, float] = {}
     best_num: dict[str, float] = {n: 0.0 for n in nums}
@@ -334,27 +300,21 @@ def interactions(df: DataFrame, cats: list[Column], nums: list[str], times: list
             best_num[n] = max(best_num.get(n, 0.0), abs(r or 0.0))
     chosen = sorted((c.name for c in cats), key=lambda c: (-best_cat.get(c, 0.0), c))[:n_cats]
     measured = sorted(best_num, key=lambda n: (-best_num[n], n))[:n_nums]
-    factors = {c: label(df, c) for c in chosen}
+    factors = {c: rows.cats[c] for c in chosen}
     from plumbline.operators.curves import span_days
     from plumbline.operators.profiler import span_unit
 
     for t in times:
         if t.first:
             unit = span_unit(span_days(t))
-            factors[f"{t.name}@{unit}"] = bucket(F.col(t.name), unit).cast("string")
+            factors[f"{t.name}@{unit}"] = rows.bucket(t.name, unit)
     names = list(factors)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if not ("@" in a and "@" in b)]
     if not pairs or not measured:
         return []
-    grid = F.array(*(F.struct(F.lit(a).alias("_fa"), F.lit(b).alias("_fb"), factors[a].alias("_a"), factors[b].alias("_b")) for a, b in pairs))
-    rows = df.select(F.inline(grid), *(finite(df, n).alias(n) for n in measured)).dropna(subset=["_a", "_b"])
-    stats = [F.struct(F.lit(n).alias("num"), F.count(F.col(n)).alias("n"), F.avg(F.col(n)).alias("mean"), m2(F.col(n)).alias("m2")) for n in measured]
-    cells: dict[tuple, list[dict]] = {}
-    for r in rows.groupBy(*(F.col(f"_{k}").alias(k) for k in ("fa", "fb", "a", "b"))).agg(F.array(*stats).alias("s")).select("fa", "fb", "a", "b", F.inline("s")).filter(F.col("n") >= evidence.MIN_CELL).collect():
-        cells.setdefault((r["fa"], r["fb"], r["num"]), []).append(r.asDict())
     out = []
-    for (a, b, num), own in sorted(cells.items()):
-        found = interaction(own)
+    for a, b, num in sorted((a, b, num) for a, b in pairs for num in measured):
+        found = interaction(rows.cells(factors[a], factors[b], num))
         if found:
             out.append({"cat1": a, "cat2": b, "num": num} | found)
     return out

@@ -12,11 +12,10 @@ from collections import OrderedDict
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.functions import tails
-from plumbline.functions.exprs import bucket, label
-from plumbline.operators import curves, dependence, evidence, structure
+from plumbline.operators import curves, dependence, structure
+from plumbline.operators.bounded import Rows
 from plumbline.operators.profiler import TIME_UNITS, coarser, group_effects, span_unit
 from plumbline.plans.confidence import MOST_MISSING, TOP_FLOOR, assess
 from plumbline.plans.model import Profile, Spec
@@ -24,6 +23,8 @@ from plumbline.plans.recommend import Evidence, slope_threshold
 from plumbline.plans.spec import groupable, measurable, validate
 
 MOST, ROWS = 5, 30
+#: Largest groups whose distributions are compared pair by pair.
+COMPARED = 8
 NO_DIRECTION = 0.10
 #: (pass, weak) on the effect size of each probe; None is computed from the groups.
 THRESHOLDS = {
@@ -145,17 +146,17 @@ def directions(rs: list[float]) -> dict:
 
 def _group_difference(df: DataFrame, profile: Profile, req: Request):
     g, t = req["group"], req["target"]
-    moments = [r.asDict() for r in evidence.level_moments(df, {g: label(df, g)}, [t]).collect()]
-    found = next(iter(group_effects(moments)), None)
+    held = Rows.of(df, [t], [g])
+    found = next(iter(group_effects(held.moments(held.cats, [t]))), None)
     if found is None:
         return None
-    rows = [r.asDict() for r in structure.group_summary(df, g, t).orderBy("level").collect()]
+    rows = held.group_table(g, t)
     chart = Spec("bar", g, t, aggregation="mean", title=f"Mean {t} by {g}")
     return found["eta_squared"], "adjusted eta squared", found["n_total"], found["n_min"], found["p_value"], None, {"groups": rows, "pooled_std": curves.pooled(rows)}, chart
 
 
 def _correlations(df: DataFrame, req: Request) -> list[dict]:
-    rows = [r.asDict() for r in evidence.group_correlations(df, req["group"], [(req["x"], req["y"])]).collect()]
+    rows = Rows.of(df, [req["x"], req["y"]], [req["group"]]).group_correlations(req["group"], [(req["x"], req["y"])])
     return sorted((r for r in rows if r["corr"] is not None), key=lambda r: r["level"])
 
 
@@ -180,8 +181,8 @@ def _slope_difference(df: DataFrame, profile: Profile, req: Request):
 
 def _nonlinear_relationship(df: DataFrame, profile: Profile, req: Request):
     x, y = req["x"], req["y"]
-    rows = [r.asDict() for r in structure.nonlinear_bins(df, x, [y], bounded=True).orderBy("bin").collect()]
-    found = curves.curve(rows, (profile.pearson.get((x, y)) or profile.pearson.get((y, x)) or (None, 0))[0])
+    bins = Rows.of(df, [x, y]).curve_bins(x, [y], structure.CURVE_BINS).get(y, [])
+    found = curves.curve(sorted(bins, key=lambda b: b["bin"]), (profile.pearson.get((x, y)) or profile.pearson.get((y, x)) or (None, 0))[0])
     if found is None:
         return None
     chart = Spec("scatter", x, y, title=f"{y} vs {x}")
@@ -189,31 +190,32 @@ def _nonlinear_relationship(df: DataFrame, profile: Profile, req: Request):
 
 
 def _distribution_difference(df: DataFrame, profile: Profile, req: Request):
-    rows = [r.asDict() for r in structure.ks_distances(df, req["group"], req["target"]).collect()]
+    held = Rows.of(df, [req["target"]], [req["group"]])
+    rows = held.distances(req["group"], req["target"], structure.MIN_ROWS, COMPARED)
     if not rows:
         return None
     best = max(rows, key=lambda r: (r["distance"], r["a"], r["b"]))
     sizes = {r[k]: r[f"n_{k}"] for r in rows for k in "ab"}
     p = min(1.0, min(tails.ks_tail(r["distance"], r["n_a"], r["n_b"]) for r in rows) * len(rows))
-    groups = [r.asDict() for r in structure.group_summary(df, req["group"], req["target"]).orderBy("level").collect()]
+    groups = held.group_table(req["group"], req["target"])
     chart = Spec("box", req["group"], req["target"], title=f"{req['target']} distribution by {req['group']}")
     return best["distance"], "largest two-sample KS distance", sum(sizes.values()), min(sizes.values()), p, None, {"groups": groups, "pairs": rows, "most_different": [best["a"], best["b"]]}, chart
 
 
 def _time_pattern(df: DataFrame, profile: Profile, req: Request):
     t, target, group = req["time"], req["target"], req["group"]
-    moments = [r.asDict() for r in evidence.level_moments(df, {u: bucket(F.col(t), u) for u in TIME_UNITS}, [target]).collect()]
-    found = {m["cat"]: m for m in group_effects(moments)}
+    held = Rows.of(df, [target], [group] if group else [], [t])
+    found = {m["cat"]: m for m in group_effects(held.moments({u: held.bucket(t, u) for u in TIME_UNITS}, [target]))}
     unit: str | None = span_unit(curves.span_days(profile.column(t)))
     while unit and unit not in found:
         unit = coarser(unit)
     if unit is None:
         return None
     m = found[unit]
-    change = next((c for c in curves.change_points(df, [profile.column(t)], [profile.column(target)]) if c["num"] == target), None)
+    change = next((c for c in curves.change_points(held, [profile.column(t)], [profile.column(target)]) if c["num"] == target), None)
     facts = {"bucket": unit, "change_point": change}
     if group:
-        rows = structure.group_time_pattern(df, t, group, target, unit).orderBy("level", "bucket").collect()
+        rows = sorted(held.over_time(t, unit, group, target), key=lambda r: (r["level"], r["bucket"]))
         facts["series"] = {v: [(r["bucket"].isoformat(), r["mean"], r["n"]) for r in rows if r["level"] == v] for v in sorted({r["level"] for r in rows})}
     effect = m["eta_squared"]
     if change and change["flagged"]:
@@ -224,8 +226,8 @@ def _time_pattern(df: DataFrame, profile: Profile, req: Request):
 
 def _interaction(df: DataFrame, profile: Profile, req: Request):
     a, b, t = req["factor1"], req["factor2"], req["target"]
-    cells = evidence.interaction_cells(df, label(df, a), label(df, b), t)
-    rows = [r.asDict() for r in cells.orderBy("a", "b").collect()]
+    held = Rows.of(df, [t], [a, b])
+    rows = held.cells(held.cats[a], held.cats[b], t)
     found = dependence.interaction(rows)
     if found is None:
         return None
@@ -247,7 +249,7 @@ RUNNERS = {
 
 
 def run_probe(df: DataFrame, profile: Profile, req: Request) -> Result | Rejected:
-    """One probe on the cast sample ``df``."""
+    """One probe on the cast sample ``df``, which is bounded (:data:`bounded.MOST` rows); a probe reads its own columns of it."""
     columns = dict(req.columns)
     why = check(req, profile)
     if why:

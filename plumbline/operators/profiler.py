@@ -1,20 +1,22 @@
 """The profile of a dataset: types, column statistics, quality, and the evidence tables.
 
-Spark reduces the (sampled) rows to bounded tables, a handful of jobs for all
-columns together; statistics over those tables run on the driver.
+Spark counts missing values over all rows, draws the sample and types its
+columns; evidence is taken of the sample's columns in memory.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from plumbline.functions import tails
-from plumbline.functions.exprs import bucket, finite, label
-from plumbline.operators import curves, dependence, evidence, profile, robust, typing
+from plumbline.functions.exprs import finite
+from plumbline.operators import curves, dependence, profile, robust, typing
+from plumbline.operators.bounded import Rows, quantile, spread
 from plumbline.operators.sampling import PROFILE_ROWS, exact_sample
 from plumbline.plans.model import Column, Profile, Quality
 
@@ -36,11 +38,14 @@ def coarser(unit: str) -> str | None:
     return TIME_UNITS[at] if at < len(TIME_UNITS) else None
 
 
-def profile_dataset(df: DataFrame, dataset_id: str = "", threshold: int = PROFILE_ROWS) -> Profile:
-    """Counts of missing values are of all rows; everything else is of the sample."""
+def profile_dataset(df: DataFrame, dataset_id: str = "", threshold: int = PROFILE_ROWS, sample: DataFrame | None = None) -> Profile:
+    """Counts of missing values are of all rows; everything else is of the sample.
+
+    ``sample`` is that of ``threshold`` rows where the caller has it already.
+    """
     nulls = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns)).first()
     n_rows = nulls["_n"]
-    raw = (exact_sample(df, threshold) if n_rows > threshold else df).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = sample if sample is not None else (exact_sample(df, threshold, total=n_rows) if n_rows > threshold else df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = min(n_rows, threshold)
         types = typing.infer(raw)
@@ -50,23 +55,24 @@ def profile_dataset(df: DataFrame, dataset_id: str = "", threshold: int = PROFIL
         _evidence(casted, out)
         return out
     finally:
-        raw.unpersist()
+        if sample is None:
+            raw.unpersist()
 
 
 def _columns(raw: DataFrame, casted: DataFrame, types: dict, nulls, n_rows: int) -> list[Column]:
     kinds = dict(raw.dtypes)
     of = lambda *semantics: [c for c, t in types.items() if t.semantic in semantics]
     out = {c: Column(c, kinds[c], t.semantic, t.nominal, t.cast, nulls[c], nulls[c] / n_rows if n_rows else 0.0) for c, t in types.items()}
-    row = casted.agg(*(F.count_distinct(F.col(f"`{c}`")).alias(c) for c in out if types[c].semantic != "unknown"), F.count("*").alias("_n")).first()
+    unique = typing.distinct_counts(casted, [c for c in out if types[c].semantic != "unknown"])
     for c in out:
-        out[c].unique_count = row[c] if types[c].semantic != "unknown" else 0
+        out[c].unique_count = unique.get(c, 0)
     nums, cats = of("numeric"), of("categorical", "boolean")
+    for at in range(0, len(nums), MATRIX):
+        rows = Rows.of(casted, nums[at : at + MATRIX])
+        for c in nums[at : at + MATRIX]:
+            values = rows.values(c)
+            out[c].stats, out[c].quality = number_stats(values), Quality(**(robust.quality_of(values) or {}))
     if nums:
-        for r in profile.numeric_profile(casted, nums).collect():
-            out[r["column"]].stats = {k: v for k, v in r.asDict().items() if k != "column"}
-        quality = robust.robust_quality(casted, nums)
-        for c in nums:
-            out[c].quality = Quality(**quality.get(c, {}))
         _count_quality(raw, casted, out, nums)
     if cats:
         for r in profile.top_categories(casted, cats).collect():
@@ -84,6 +90,17 @@ def _columns(raw: DataFrame, casted: DataFrame, types: dict, nulls, n_rows: int)
     return list(out.values())
 
 
+def number_stats(v: np.ndarray) -> dict:
+    """n, min, max, mean, median, std, q25, q75 (nearest rank) and skew of sorted finite values."""
+    if not len(v):
+        return {}
+    nearest = lambda q: float(v[math.floor((len(v) - 1) * q + 0.5)])
+    off = v - v.mean()
+    m2 = float((off**2).mean())
+    skew = float((off**3).mean()) / m2**1.5 if m2 > 0 else None
+    return {"n": len(v), "min": float(v[0]), "max": float(v[-1]), "mean": float(v.mean()), "median": quantile(v, 0.5), "std": spread(v), "q25": nearest(0.25), "q75": nearest(0.75), "skew": skew}
+
+
 def _count_quality(raw: DataFrame, casted: DataFrame, out: dict[str, Column], nums: list[str]) -> None:
     """Missing, token and invalid rows of numeric columns in one pass over raw and cast values."""
     exprs = []
@@ -107,30 +124,28 @@ def _evidence(df: DataFrame, out: Profile) -> None:
     names = [c.name for c in nums][:MATRIX]
     cats = eligible(out.columns)
     times = [c for c in out.columns if c.semantic == "datetime"]
+    rows = Rows.of(df, names, [c.name for c in cats], [c.name for c in times])
     if len(names) >= 2:
-        out.pearson = {(r["a"], r["b"]): (r["r"], r["n"]) for r in profile.pearson_pairs(df, names).collect()}
-        out.spearman = {(r["a"], r["b"]): r["r"] for r in profile.spearman_pairs(df, names, bounded=True).collect()}
+        out.pearson = rows.pearson(names)
+        out.spearman = {pair: r for pair, (r, _) in rows.pearson(names, ranked=True).items()}
     e = out.evidence
-    levels = {c.name: label(df, c.name) for c in cats}
-    moments: list[dict] = []
-    if levels and names:
-        moments = [r.asDict() for r in evidence.level_moments(df, levels, names).collect()]
+    moments = rows.moments(rows.cats, names)
     e["cat_num"] = group_effects(moments)
     e["derived"] = dependence.identities(df, out, names)
     e["near_duplicates"] = dependence.near_duplicates(out, names, NEAR_RHO, NAMED_RHO, NEAR_ROWS)
     copies = {d for g in e["near_duplicates"] for d in g["duplicates"]}
     e["derived"] += dependence.near_copies(e["near_duplicates"])
-    e["dispersion"], buckets = dependence.dispersion(df, cats, names, e["derived"])
+    e["dispersion"], buckets = dependence.dispersion(rows, cats, names, e["derived"])
     e["derived"] += buckets
     e["time_effects"] = []
     for t in times:
-        e["time_effects"] += _time_effects(df, t, names)
-    e["interactions"] = dependence.interactions(df, cats, names, times, e["cat_num"], out.pearson, INTERACTION_CATS, INTERACTION_NUMS)
-    e["slopes"] = _slopes(df, cats, out)
-    e["correlation_tests"] = _correlation_tests(df, out, names, times)
+        e["time_effects"] += _time_effects(rows, t, names)
+    e["interactions"] = dependence.interactions(rows, cats, names, times, e["cat_num"], out.pearson, INTERACTION_CATS, INTERACTION_NUMS)
+    e["slopes"] = _slopes(rows, cats, out)
+    e["correlation_tests"] = _correlation_tests(rows, out, names, times)
     definitional = {frozenset((d["target"], c)) for d in e["derived"] for c in d["components"]}
     used = [c for c in nums if c.name in names and c.name not in copies]
-    curves.layer2(df, out, used, cats, times, moments, definitional)
+    curves.layer2(rows, out, used, cats, times, definitional)
     apply_fdr(out)
 
 
@@ -157,10 +172,10 @@ def group_effects(moments: list[dict]) -> list[dict]:
     return out
 
 
-def _time_effects(df: DataFrame, t: Column, names: list[str]) -> list[dict]:
+def _time_effects(rows: Rows, t: Column, names: list[str]) -> list[dict]:
     if not names or not t.first:
         return []
-    moments = [r.asDict() for r in evidence.level_moments(df, {u: bucket(F.col(t.name), u) for u in TIME_UNITS}, names).collect()]
+    moments = rows.moments({u: rows.bucket(t.name, u) for u in TIME_UNITS}, names)
     found = {(x["cat"], x["num"]): x for x in group_effects(moments)}
     start, out = span_unit(curves.span_days(t)), []
     for num in names:
@@ -173,7 +188,7 @@ def _time_effects(df: DataFrame, t: Column, names: list[str]) -> list[dict]:
     return out
 
 
-def _slopes(df: DataFrame, cats: list[Column], out: Profile) -> list[dict]:
+def _slopes(rows: Rows, cats: list[Column], out: Profile) -> list[dict]:
     """Pairs that correlate overall, within the groups of the strongest categories."""
     pairs = sorted(((a, b) for (a, b), (r, _) in out.pearson.items() if r is not None and abs(r) >= SLOPE_R), key=lambda p: (-abs(out.pearson[p][0]), p))[:SLOPE_PAIRS]
     best: dict[str, float] = {}
@@ -183,23 +198,23 @@ def _slopes(df: DataFrame, cats: list[Column], out: Profile) -> list[dict]:
     result = []
     for g in groups if pairs else []:
         by: dict[tuple[str, str], list] = {}
-        for r in evidence.group_correlations(df, g, pairs).collect():
+        for r in rows.group_correlations(g, pairs):
             if r["corr"] is not None:
                 by.setdefault((r["x"], r["y"]), []).append((r["level"], r["corr"], r["n"]))
-        for (x, y), rows in sorted(by.items()):
-            if len(rows) >= 2:
-                rs, ns = [r for _, r, _ in rows], [n for _, _, n in rows]
-                result.append({"x": x, "y": y, "group": g, "corrs": {v: r for v, r, _ in rows}, "spread": max(rs) - min(rs), "n_min": min(ns), "p_value": tails.homogeneity_p(rs, ns)})
+        for (x, y), own in sorted(by.items()):
+            if len(own) >= 2:
+                rs, ns = [r for _, r, _ in own], [n for _, _, n in own]
+                result.append({"x": x, "y": y, "group": g, "corrs": {v: r for v, r, _ in own}, "spread": max(rs) - min(rs), "n_min": min(ns), "p_value": tails.homogeneity_p(rs, ns)})
     return result
 
 
-def _correlation_tests(df: DataFrame, out: Profile, names: list[str], times: list[Column]) -> list[dict]:
+def _correlation_tests(rows: Rows, out: Profile, names: list[str], times: list[Column]) -> list[dict]:
     """Correlations with effective sizes in the order of the fullest time column."""
     rho: dict[str, float | None] = {}
     if times and names:
         t = max(times, key=lambda c: (-c.missing_count, c.name))
-        rows = df.filter(F.col(t.name).isNotNull())
-        rho = {r["num"]: r["rho"] for r in evidence.lag1_autocorrelation(rows, [t.name, *names], names).collect()}
+        timed = rows.where(~np.isnat(rows.times[t.name]))
+        rho = {n: timed.lag1([t.name, *names], n) for n in names}
     result = []
     for (a, b), (r, n) in sorted(out.pearson.items()):
         if r is None or n < 4:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import TIMES, kind_of, label
-from plumbline.operators import charts, sampling
+from plumbline.operators import charts, gaps, sampling
 from plumbline.plans.confidence import sentinels
 from plumbline.plans.model import Profile, Spec
 from plumbline.plans.recommend import granularity
@@ -92,10 +92,13 @@ class Rendering:
         for r in rows.limit(MOST_POINTS + 1).collect():
             found.setdefault(text(r["series"]) if spec.group_by else spec.y or "count", []).append((r["x"], r["y"]))
         at = {text(v): i for i, v in enumerate(self.ordered({text(x) for p in found.values() for x, _ in p}, spec.x))} if category else {}
-        series = []
+        series, times = [], []
         for name in sorted(found):
             points = sorted(found[name], key=(lambda p: at[text(p[0])]) if category else lambda p: p[0])
             series.append({"name": name, "x": [plain(x) for x, _ in points], "y": [plain(y) for _, y in points]})
+            times.append([x for x, _ in points])
+        for s, own in zip(series, gaps.breaks(times, unit is not None, bool(spec.group_by)) if temporal else []):
+            s["breaks"] = own
         return {"series": series}, sum(len(s["x"]) for s in series)
 
     def bar(self) -> tuple[dict, int]:

@@ -1,18 +1,17 @@
-"""Robust quality of many numeric columns at once: scales, suspected sentinels, far-out values.
+"""Robust quality of a numeric column of the profiled sample: scale, suspected sentinels, far-out values.
 
-Columns with spread around their median are handled together in long form, one
-aggregation per step.  Columns dominated by one value are settled on the driver
-from their value counts, which the profiled sample bounds.
+A column with spread around its median is judged by its values, one dominated
+by a single value by what is off that value.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import numpy as np
 
-from plumbline.operators.profile import FAR_OUT, MAD_SCALE, PATTERNS, Z_SENTINEL, long_numbers
+from plumbline.operators.bounded import quantile
+from plumbline.operators.profile import FAR_OUT, MAD_SCALE, PATTERNS, Z_SENTINEL
 
 LEAST = 5
 TOLERANCE = 1e-9
@@ -119,63 +118,42 @@ def _minus(pairs: list[tuple[float, int]], gone: list[tuple[float, int]]) -> lis
     return [(v, c) for v, c in left.items() if c > 0]
 
 
-def robust_quality(df: DataFrame, names: list[str]) -> dict[str, dict]:
-    """By column: median, mad, quartiles, sentinels, extremes and range; no entry under five finite values."""
-    if not names:
-        return {}
-    rows = long_numbers(df, names)
-    q = lambda p, c="value": F.percentile(c, F.lit(p))
-    scale = rows.groupBy("column").agg(F.count("*").alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3")).filter(F.col("n") >= LEAST)
-    off = F.abs(F.col("value") - F.col("median"))
-    scale = rows.join(F.broadcast(scale), "column").groupBy("column").agg(*(F.first(c).alias(c) for c in ("n", "median", "q1", "q3")), q(0.5, off).alias("mad"), F.max(off).alias("far"))
-    table = {r["column"]: r.asDict() for r in scale.collect()}
-    spread = {c: t for c, t in table.items() if t["mad"] > tolerance(t["median"])}
-    out: dict[str, dict] = {}
-    still = [c for c in table if c not in spread]
-    if still:
-        pairs: dict[str, list] = {c: [] for c in still}
-        for r in long_numbers(df, still).groupBy("column", "value").agg(F.count("*").alias("c")).collect():
-            pairs[r["column"]].append((r["value"], r["c"]))
-        for c in still:
-            out[c] = dominated(Counts(pairs[c]), table[c]["median"], table[c]["mad"])
-    if not spread:
-        return out
-    spark = df.sparkSession
-    limits = F.broadcast(spark.createDataFrame([(c, t["median"], Z_SENTINEL * MAD_SCALE * t["mad"]) for c, t in spread.items()], "column string, median double, cut double"))
-    far = rows.join(limits, "column").filter(F.abs(F.col("value") - F.col("median")) > F.col("cut")).groupBy("column", "value").agg(F.count("*").alias("c"))
-    bad: dict[str, list[dict]] = {c: [] for c in spread}
-    for r in far.collect():
-        t = spread[r["column"]]
-        why = signals(r["value"], r["c"], t["n"], 100.0 * max(abs(t["q1"]), abs(t["q3"]), MAD_SCALE * t["mad"]))
-        if len(why) >= 2:
-            bad[r["column"]].append({"value": r["value"], "count": r["c"], "signals": why})
-    gone = F.broadcast(spark.createDataFrame([(c, s["value"]) for c, x in bad.items() for s in x], "column string, value double"))
-    clean = rows.join(gone, ["column", "value"], "left_anti")
-    quart = clean.groupBy("column").agg(q(0.25).alias("a"), q(0.75).alias("b"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("left"))
-    beyond = clean.join(F.broadcast(quart), "column").groupBy("column").agg(
-        *(F.first(c).alias(c) for c in ("a", "b", "lo", "hi", "left")),
-        F.count_if((F.col("value") < F.col("a") - FAR_OUT * (F.col("b") - F.col("a"))) | (F.col("value") > F.col("b") + FAR_OUT * (F.col("b") - F.col("a")))).alias("extreme"),
-    )
-    for r in beyond.collect():
-        c, t, iqr = r["column"], spread.get(r["column"]), r["b"] - r["a"]
-        if t is None:
-            continue
-        extreme, lo, hi = r["extreme"], max(r["lo"], r["a"] - FAR_OUT * iqr), min(r["hi"], r["b"] + FAR_OUT * iqr)
-        if iqr <= tolerance(r["a"]):
-            pairs = [(x["value"], x["c"]) for x in clean.filter(F.col("column") == c).groupBy("value").agg(F.count("*").alias("c")).collect()]
-            extreme, lo, hi = _window(Counts(pairs), r["a"])
-        out[c] = {
-            "n": t["n"],
-            "median": t["median"],
-            "mad": t["mad"],
-            "q1": r["a"],
-            "q3": r["b"],
-            "robust_z_max": t["far"] / (MAD_SCALE * t["mad"]),
-            "extreme_count": extreme,
-            "sentinels": sorted(bad[c], key=lambda s: (-s["count"], s["value"])),
-            "sentinel_rows": t["n"] - r["left"],
-            "robust_range": (lo, hi),
-            "mode_share": None,
-            "concentration": None,
-        }
-    return out
+def _far_out(clean: np.ndarray) -> tuple[int, float, float]:
+    """Values beyond three quartile ranges of the quartiles, and the range without them."""
+    q1, q3 = quantile(clean, 0.25), quantile(clean, 0.75)
+    if q3 - q1 <= tolerance(q1):
+        return _window(Counts(list(zip(*(x.tolist() for x in np.unique(clean, return_counts=True))))), q1)
+    a, b = q1 - FAR_OUT * (q3 - q1), q3 + FAR_OUT * (q3 - q1)
+    return int(((clean < a) | (clean > b)).sum()), max(float(clean[0]), a), min(float(clean[-1]), b)
+
+
+def quality_of(values: np.ndarray) -> dict | None:
+    """Median, mad, quartiles, sentinels, extremes and range of sorted finite values; None under five of them."""
+    n = len(values)
+    if n < LEAST:
+        return None
+    median = quantile(values, 0.5)
+    off = np.abs(values - median)
+    mad = quantile(np.sort(off), 0.5)
+    distinct, counts = np.unique(values, return_counts=True)
+    if mad <= tolerance(median):
+        return dominated(Counts(list(zip(distinct.tolist(), counts.tolist()))), median, mad)
+    scale = 100.0 * max(abs(quantile(values, 0.25)), abs(quantile(values, 0.75)), MAD_SCALE * mad)
+    far = np.abs(distinct - median) > Z_SENTINEL * MAD_SCALE * mad
+    found = [{"value": v, "count": c, "signals": why} for v, c in zip(distinct[far].tolist(), counts[far].tolist()) if len(why := signals(v, c, n, scale)) >= 2]
+    clean = values[~np.isin(values, [s["value"] for s in found])]
+    extreme, lo, hi = _far_out(clean)
+    return {
+        "n": n,
+        "median": median,
+        "mad": mad,
+        "q1": quantile(clean, 0.25),
+        "q3": quantile(clean, 0.75),
+        "robust_z_max": float(off.max()) / (MAD_SCALE * mad),
+        "extreme_count": extreme,
+        "sentinels": sorted(found, key=lambda s: (-s["count"], s["value"])),
+        "sentinel_rows": n - len(clean),
+        "robust_range": (lo, hi),
+        "mode_share": None,
+        "concentration": None,
+    }

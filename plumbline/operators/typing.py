@@ -97,8 +97,19 @@ def looks_like_code(name: str) -> bool:
     return bool(CODE_NAME.fullmatch(name) or CODE_CAMEL.fullmatch(name))
 
 
+def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Distinct values of many columns of a bounded sample, by 64-bit hashes: one row per column and value, not per set of columns."""
+    if not names:
+        return {}
+    plus = lambda f: F.col(f"`{f.name}`") + F.lit(0.0) if isinstance(f.dataType, FRACTIONS) else F.col(f"`{f.name}`")  # noqa: E731  -0.0 is 0.0
+    hashes = [F.struct(F.lit(i).alias("i"), F.when(F.col(f"`{n}`").isNotNull(), F.xxhash64(plus(df.schema[n]))).alias("h")) for i, n in enumerate(names)]
+    rows = df.select(F.inline(F.array(*hashes))).filter("h is not null").distinct().groupBy("i").agg(F.count("*").alias("n"))
+    found = {r["i"]: r["n"] for r in rows.collect()}
+    return {n: found.get(i, 0) for i, n in enumerate(names)}
+
+
 def _facts(df: DataFrame) -> dict[str, dict]:
-    """Per column what :func:`decide` asks for, from one aggregation."""
+    """Per column what :func:`decide` asks for, from one aggregation and one count of distinct values."""
     exprs = []
     for f in df.schema.fields:
         c, x = F.col(f"`{f.name}`"), {}
@@ -106,18 +117,19 @@ def _facts(df: DataFrame) -> dict[str, dict]:
         if isinstance(f.dataType, T.StringType):
             digits = stripped(c).rlike(r"^[+-]?\d+$")
             token = missing_token(c)
-            x |= {"unique": F.count_distinct(c), "integers": F.coalesce(F.bool_and(digits), F.lit(False)), "zeros": F.count_if(stripped(c).rlike(r"^0\d+$")), "length": F.avg(F.length(c)), "tokens": F.count_if(token), "numbers": F.count_if(numeric_cast(c).isNotNull())}
+            x |= {"integers": F.coalesce(F.bool_and(digits), F.lit(False)), "zeros": F.count_if(stripped(c).rlike(r"^0\d+$")), "length": F.avg(F.length(c)), "tokens": F.count_if(token), "numbers": F.count_if(numeric_cast(c).isNotNull())}
             x |= {"comma": F.bool_or(c.contains(",")), "money": F.bool_or(c.rlike(CURRENCY)), "percent": F.bool_or(c.contains("%"))}
             whole = F.when(digits, stripped(c).try_cast("long"))
             x |= {"lo": F.min(whole), "hi": F.max(whole)}
         elif isinstance(f.dataType, (*INTEGERS, *FRACTIONS, T.DecimalType)):
-            x |= {"unique": F.count_distinct(c), "lo": F.min(c).cast("double"), "hi": F.max(c).cast("double")}
+            x |= {"lo": F.min(c).cast("double"), "hi": F.max(c).cast("double")}
             if isinstance(f.dataType, FRACTIONS):
                 real = ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
                 x |= {"integers": F.coalesce(F.bool_and(F.when(real, c == F.floor(c))), F.lit(False))}
         exprs.append(F.struct(*(v.alias(k) for k, v in x.items())).alias(f.name))
     row = df.agg(*exprs, F.count("*").alias("_rows")).first()
-    return {f.name: row[f.name].asDict() | {"rows": row["_rows"]} for f in df.schema.fields}
+    unique = distinct_counts(df, [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, *INTEGERS, *FRACTIONS, T.DecimalType))])
+    return {f.name: row[f.name].asDict() | {"rows": row["_rows"]} | ({"unique": unique[f.name]} if f.name in unique else {}) for f in df.schema.fields}
 
 
 def _date_format(df: DataFrame, name: str) -> str | None:

@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the session names no folder (tests, a local session).
-LOCAL = "file:///tmp/checkpoints"
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A session on one machine that names none gets a folder of its own; on a
+    cluster that is an error, since executors could not read each other's files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    named = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def app_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
-    return f"{root}/plumbline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    """A path of its own below the shared folder; all of them go when the driver ends."""
+    fs, at = file_system(spark, app_dir(spark))
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{app_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, and a lost executor costs a read."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -108,7 +108,7 @@ def test_tiny_and_empty(spark):
 def test_curve_helpers():
     assert curves.hills([0.3, 0.05, 0.3, 0.05, 0.3], 0.1, 0.6, True) == 3
     assert curves.hills([0.3, 0.28, 0.3], 0.1, 0.6, True) == 1
-    assert curves.monotone([1, 2, 1.98, 3]) and not curves.monotone([1, 3, 1])
+    assert curves.Shape(1, 1, [1, 2, 1.98, 3]).one_way and curves.Shape(1, 1, [3, 2, 2.02, 1]).one_way and not curves.Shape(1, 1, [1, 3, 1]).one_way
     c, vertex = curves.bend([4, 1, 0, 1, 4])
     assert c == pytest.approx(1) and vertex == pytest.approx(2)
     assert curves.thin(5) == [0, 1, 2, 3, 4] and len(curves.thin(100)) == 24
