@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import bucket, finite, width_bin
 from plumbline.operators import ordered
+from plumbline.operators.joins import lookup
+from plumbline.sources.scratch import materialize
 
 AGGREGATIONS = ("count", "sum", "mean", "median", "min", "max")
 HEX_COLUMNS = 40
@@ -57,7 +59,7 @@ def bar(df: DataFrame, x: str, y: str | None, how: str, group: str | None = None
     cells = rows.groupBy(*keys).agg(aggregate(how, y).alias("value"))
     if not group:
         return cats.join(cells, "category", "left")
-    grid = cats.crossJoin(F.broadcast(cells.select("series").distinct()))
+    grid = cats.crossJoin(cells.select("series").distinct())  # at most ``top`` categories
     return grid.join(cells, ["category", "series"], "left").select("category", "rank", "series", "value")
 
 
@@ -88,17 +90,18 @@ def histogram(df: DataFrame, x: str, bins: int | None = None, group: str | None
     every = edge.select("lo", "hi", "k", "width", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("k") - 1).cast("long"))).alias("bin"))
     every = every.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"), F.when(F.col("bin") == F.col("k") - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("hi"))
     if group:
-        every = every.crossJoin(F.broadcast(counts.select("series").distinct()))
+        every = counts.select("series").distinct().crossJoin(F.broadcast(every))  # the bins are bounded, the series need not be
     return every.join(counts, keys, "left").select(*keys, "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def box(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
     """(name, n, mean, q1, median, q3, lower_fence, upper_fence, n_outliers) per level of x, or over all rows."""
     rows = clean(df, [x, y], [y]).select((F.col(x).cast("string") if x else F.lit("all")).alias("name"), F.col(y).alias("v"))
-    q = lambda p: F.percentile("v", F.lit(p))
-    stats = rows.groupBy("name").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    cuts = ordered.quantiles(rows, ["name"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    stats = rows.groupBy("name").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(cuts, "name").select("name", "n", "mean", "q1", "median", "q3")
     stats = stats.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    out = rows.join(stats, "name").groupBy("name").agg(F.count_if((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))).alias("n_outliers"))
+    stats = materialize(stats, "boxes")
+    out = lookup(rows, stats, ["name"], F.col("v")).groupBy("name").agg(F.count_if((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))).alias("n_outliers"))
     return stats.join(out, "name")
 
 
@@ -107,7 +110,7 @@ def outliers(df: DataFrame, y: str, x: str | None, n: int) -> DataFrame:
     from plumbline.operators.sampling import exact_sample_by
 
     rows = clean(df, [x, y], [y]).select((F.col(x).cast("string") if x else F.lit("all")).alias("name"), F.col(y).alias("v"))
-    far = rows.join(box(df, y, x).select("name", "lower_fence", "upper_fence"), "name").filter("v < lower_fence or v > upper_fence").select("name", "v")
+    far = lookup(rows, box(df, y, x).select("name", "lower_fence", "upper_fence"), ["name"], F.col("v")).filter("v < lower_fence or v > upper_fence").select("name", "v")
     return exact_sample_by(far, "name", n)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import bucket, finite, label, m2, pearson
 from plumbline.operators import ordered
+from plumbline.operators.joins import lookup
 
 MIN_CELL, MIN_CELLS, FULL_GRID = 5, 4, 0.7
 MIN_GROUP = 30
@@ -108,20 +109,20 @@ def slope_spread(found: DataFrame) -> DataFrame:
 def dispersion_stats(df: DataFrame, cat: str, num: str) -> DataFrame:
     """Per level: n, std, iqr, mad, lo, hi, sum and M2 of the deviations from its median, rows in its outer tenths.
 
-    Two aggregations; the medians between them are one row per level.
+    Medians come of counted values; what is looked up by rows is one row per level.
     """
     rows = df.select(label(df, cat).alias("level"), finite(df, num).alias("v")).dropna()
-    mid = rows.groupBy("level").agg(F.percentile("v", F.lit(0.5)).alias("mid"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    dev = F.abs(F.col("v") - F.col("mid"))
-    wide = EDGE * (F.col("hi") - F.col("lo"))
+    mid = ordered.quantiles(rows, ["level"], "v", {"mid": 0.5, "q1": 0.25, "q3": 0.75}).drop("n")
+    mid = mid.join(rows.groupBy("level").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "level")
+    rows = lookup(rows, mid, ["level"], F.col("v")).withColumn("dev", F.abs(F.col("v") - F.col("mid")))
+    dev, wide = F.col("dev"), EDGE * (F.col("hi") - F.col("lo"))
+    mad = ordered.quantiles(rows, ["level"], "dev", {"mad": 0.5}).drop("n")
     return (
-        rows.join(mid, "level")
-        .groupBy("level")
+        rows.groupBy("level")
         .agg(
             F.count("*").alias("n"),
             F.stddev_samp("v").alias("std"),
-            (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"),
-            F.percentile(dev, F.lit(0.5)).alias("mad"),
+            F.min(F.col("q3") - F.col("q1")).alias("iqr"),
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
             F.sum(dev).alias("dev_sum"),
@@ -129,6 +130,7 @@ def dispersion_stats(df: DataFrame, cat: str, num: str) -> DataFrame:
             F.count_if(F.col("v") >= F.col("hi") - wide).alias("top_edge"),
             F.count_if(F.col("v") <= F.col("lo") + wide).alias("bottom_edge"),
         )
+        .join(mad, "level")
     )
 
 
@@ -141,12 +143,11 @@ def resolution(df: DataFrame, num: str) -> DataFrame:
 
 def lag1_autocorrelation(df: DataFrame, order: list[str], nums: list[str]) -> DataFrame:
     """(num, rho, n): correlation of every number with its value one row before."""
-    out = None
-    for n in nums:
-        rows = ordered.lagged(df.select(*order, finite(df, n).alias("_v")), order, "_v", "_before")
-        row = rows.agg(pearson(F.col("_before"), F.col("_v")).alias("rho"), F.regr_count("_v", "_before").alias("n")).select(F.lit(n).alias("num"), "rho", "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = df.select(*order, F.struct(*(finite(df, n).alias(f"v{i}") for i, n in enumerate(nums))).alias("_v"))
+    rows = ordered.lagged(rows, order, "_v", "_before")
+    pair = lambda i: (F.col(f"_before.v{i}"), F.col(f"_v.v{i}"))
+    stats = [F.struct(F.lit(n).alias("num"), pearson(*pair(i)).alias("rho"), F.regr_count(*pair(i)[::-1]).alias("n")) for i, n in enumerate(nums)]
+    return rows.agg(F.array(*stats).alias("x")).select(F.inline("x"))
 
 
 def correlation_tests(df: DataFrame, nums: list[str], order: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import finite, label, pearson
 from plumbline.operators import ordered
-from plumbline.operators.ordered import average_ranks
+from plumbline.operators.ordered import column_ranks
 from plumbline.operators.typing import MISSING_TOKENS, numeric_cast, stripped
+from plumbline.sources.scratch import materialize
 
 #: Aggregate expressions of one pass; more would outgrow generated code.
 CHUNK = 40
@@ -30,12 +31,8 @@ def numeric_profile(df: DataFrame, names: list[str]) -> DataFrame:
     """column, n, min, max, mean, median, std, q25, q75 (nearest rank), skew over finite values."""
     rows = long_numbers(df, names)
     v = F.col("value")
-    stats = rows.groupBy("column").agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("skew"))
-    counts = rows.groupBy("column", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy("column").orderBy("value"))
-    whole = F.sum("c").over(W.partitionBy("column"))
-    at = lambda q: F.min(F.when((F.col("upto") - F.col("c") <= F.floor((F.col("all") - 1) * q + 0.5)) & (F.col("upto") > F.floor((F.col("all") - 1) * q + 0.5)), v))
-    ranks = counts.withColumn("upto", upto).withColumn("all", whole).groupBy("column").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
+    stats = rows.groupBy("column").agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("skew"))
+    ranks = ordered.quantiles(rows, ["column"], "value", {"median": 0.5}, {"q25": 0.25, "q75": 0.75}).drop("n")
     return stats.join(ranks, "column").select("column", "n", "min", "max", "mean", "median", "std", "q25", "q75", "skew")
 
 
@@ -52,7 +49,8 @@ def category_lists(df: DataFrame, names: list[str], most: int = LABELS_LISTED) -
     wide = df.select(*(label(df, n).alias(n) for n in names))
     found = wide.unpivot([], names, "column", "value").filter("value is not null").distinct()
     nth = F.row_number().over(W.partitionBy("column").orderBy("value"))
-    found = found.withColumn("nth", nth).groupBy("column").agg(F.count("*").alias("n_categories"), F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.col("value")))).alias("labels"))
+    first = found.withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("labels"))  # each task keeps ``most``
+    found = found.groupBy("column").agg(F.count("*").alias("n_categories")).join(first, "column")
     return found.withColumn("labels", F.when(F.col("n_categories") <= most, F.col("labels")))
 
 
@@ -85,18 +83,19 @@ def quality_counts(df: DataFrame, name: str, value: Column | None = None) -> Dat
 def robust_scale(df: DataFrame, name: str) -> DataFrame:
     """n, median, mad, q1, q3 (linear) of the finite values: two passes, the first one row wide."""
     v = df.select(finite(df, name).alias("v")).filter("v is not null")
-    mid = v.agg(F.count("v").alias("n"), *(F.percentile("v", F.lit(q)).alias(a) for q, a in ((0.5, "median"), (0.25, "q1"), (0.75, "q3"))))
-    dev = v.crossJoin(F.broadcast(mid)).groupBy("n", "median", "q1", "q3").agg(F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5)).alias("mad"), F.max(F.abs(F.col("v") - F.col("median"))).alias("far"))
-    return dev
+    mid = materialize(ordered.quantiles(v, [], "v", {"median": 0.5, "q1": 0.25, "q3": 0.75}), "median")
+    off = v.crossJoin(F.broadcast(mid)).select(F.abs(F.col("v") - F.col("median")).alias("off"))
+    dev = ordered.quantiles(off, [], "off", {"mad": 0.5}).drop("n").crossJoin(F.broadcast(off.agg(F.max("off").alias("far"))))
+    return mid.crossJoin(F.broadcast(dev))
 
 
-def sentinel_candidates(df: DataFrame, name: str) -> DataFrame:
+def sentinel_candidates(df: DataFrame, name: str, scale: DataFrame | None = None) -> DataFrame:
     """value, n, and the signals of values more than ten robust deviations out.
 
     ``suspected`` takes two signals of: repeated, a fill pattern, a hundred
     times the column's own scale.  Only for columns with spread around the median.
     """
-    scale = robust_scale(df, name).filter("mad > 1e-9 * greatest(1.0, abs(median))")
+    scale = (robust_scale(df, name) if scale is None else scale).filter("mad > 1e-9 * greatest(1.0, abs(median))")
     v = df.select(finite(df, name).alias("value")).filter("value is not null")
     rows = v.crossJoin(F.broadcast(scale.withColumnRenamed("n", "n_all"))).filter(F.abs(F.col("value") - F.col("median")) / (MAD_SCALE * F.col("mad")) > Z_SENTINEL)
     found = rows.groupBy("value").agg(F.count("*").alias("n"), F.first("n_all").alias("n_all"), F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.first("mad").alias("mad"))
@@ -110,10 +109,11 @@ def sentinel_candidates(df: DataFrame, name: str) -> DataFrame:
 def robust_fences(df: DataFrame, name: str) -> DataFrame:
     """One row: median, mad, robust_z_max, q1, q3, iqr and fences of the values without suspected sentinels, and what lies beyond."""
     v = df.select(finite(df, name).alias("v")).filter("v is not null")
-    scale = robust_scale(df, name).select("n", "median", "mad", F.try_divide("far", MAD_SCALE * F.col("mad")).alias("robust_z_max"))
-    bad = sentinel_candidates(df, name).filter("suspected").select("value")
+    whole = materialize(robust_scale(df, name), "scale")
+    scale = whole.select("n", "median", "mad", F.try_divide("far", MAD_SCALE * F.col("mad")).alias("robust_z_max"))
+    bad = sentinel_candidates(df, name, whole).filter("suspected").select("value")
     clean = v.join(F.broadcast(bad), v["v"] == bad["value"], "left_anti")
-    q = clean.agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"), F.count("*").alias("n_clean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    q = ordered.quantiles(clean, [], "v", {"q1": 0.25, "q3": 0.75}).withColumnRenamed("n", "n_clean").crossJoin(F.broadcast(clean.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("lower", F.col("q1") - FAR_OUT * F.col("iqr")).withColumn("upper", F.col("q3") + FAR_OUT * F.col("iqr"))
     out = clean.crossJoin(F.broadcast(q)).agg(F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))).alias("extreme_count"))
     row = scale.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(out))
@@ -135,11 +135,14 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
-def spearman_pairs(df: DataFrame, names: list[str], bounded: bool = False) -> DataFrame:
-    """As :func:`pearson_pairs` on average ranks, taken once over all finite values of a column."""
-    rows = df.select(*(finite(df, n).alias(n) for n in names))
-    for n in names:
-        rows = average_ranks(rows, n, f"rank of {n}", bounded)
-    return pearson_pairs(rows.select(*(F.col(f"rank of {n}").alias(n) for n in names)), names)
+def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """As :func:`pearson_pairs` on average ranks, taken once over all finite values of a column.
+
+    All columns are ranked together, as (row, column, value), and their ranks meet again by row.
+    """
+    wide = materialize(df.select(F.monotonically_increasing_id().alias("_id"), *(finite(df, n).alias(n) for n in names)), "numbers")
+    ranked = column_ranks(wide.unpivot(["_id"], names, "_column", "_value"))
+    rows = ranked.groupBy("_id").agg(*(F.max(F.when(F.col("_column") == n, F.col("_rank"))).alias(n) for n in names))
+    return pearson_pairs(rows, names)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.exprs import bucket, finite, label, m2, rank_bin
 from plumbline.operators import ordered
 from plumbline.operators.ordered import average_ranks
+from plumbline.sources.scratch import materialize
 
 MIN_ROWS = 30
 DIST_BINS, CURVE_BINS = 10, 10
@@ -39,8 +40,9 @@ def distribution_summary(df: DataFrame, name: str) -> DataFrame:
 def group_summary(df: DataFrame, cat: str, num: str) -> DataFrame:
     """Per level: n, mean, median, std, q25, q75."""
     rows = df.select(label(df, cat).alias("level"), finite(df, num).alias("v")).dropna()
-    q = lambda x: F.percentile("v", F.lit(x))
-    return rows.groupBy("level").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), q(0.5).alias("median"), F.stddev_samp("v").alias("std"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    cuts = ordered.quantiles(rows, ["level"], "v", {"median": 0.5, "q25": 0.25, "q75": 0.75}).drop("n")
+    stats = rows.groupBy("level").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    return stats.join(cuts, "level").select("level", "n", "mean", "median", "std", "q25", "q75")
 
 
 def subgroup_anomalies(summary: DataFrame, least: int = MIN_ROWS, groups: int = 5) -> DataFrame:
@@ -64,11 +66,11 @@ def group_time_pattern(df: DataFrame, time: str, cat: str, num: str, unit: str)
     return rows.groupBy("bucket", "level").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
 
-def nonlinear_bins(df: DataFrame, x: str, ys: list[str], bins: int = CURVE_BINS, bounded: bool = False) -> DataFrame:
+def nonlinear_bins(df: DataFrame, x: str, ys: list[str], bins: int = CURVE_BINS) -> DataFrame:
     """(y, bin, lo, hi, n, mean, m2) over equal-frequency bins of x by average rank; ties share a bin."""
     rows = df.select(finite(df, x).alias("_x"), *(finite(df, y).alias(y) for y in ys)).filter("_x is not null")
     whole = rows.agg(F.count("*").alias("_all"))
-    ranked = average_ranks(rows, "_x", "_rank", bounded).crossJoin(F.broadcast(whole))
+    ranked = average_ranks(rows, "_x", "_rank").crossJoin(F.broadcast(whole))
     at = rank_bin(F.col("_rank"), F.col("_all"), bins)
     stats = [F.struct(F.lit(y).alias("y"), F.count(F.col(y)).alias("n"), F.avg(F.col(y)).alias("mean"), m2(F.col(y)).alias("m2")) for y in ys]
     found = ranked.groupBy(at.alias("_bin")).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.array(*stats).alias("s"))
@@ -105,15 +107,15 @@ def change_point(series: DataFrame, segment: int = SEGMENT) -> DataFrame:
 def ks_distances(df: DataFrame, cat: str, num: str, least: int = MIN_ROWS, groups: int = 8) -> DataFrame:
     """(a, b, n_a, n_b, distance) of the two-sample KS distance between the largest levels.
 
-    Values are counted per level first; distributions are running sums over the
+    Rows are read once, to count values per level; distributions are running sums over the
     distinct values, kept as one map of counts per value, so no pair of samples
     is ever joined.
     """
     rows = df.select(label(df, cat).alias("level"), finite(df, num).alias("v")).dropna()
-    sizes = rows.groupBy("level").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    sizes = sizes.orderBy(F.desc("size"), "level").limit(groups)
-    counts = rows.join(F.broadcast(sizes), "level").groupBy("v", "level").agg(F.count("*").alias("c"), F.first("size").alias("size"))
-    levels = [(r["level"], r["size"]) for r in sizes.orderBy("level").collect()]
+    counts = materialize(rows.groupBy("level", "v").agg(F.count("*").alias("c")), "counts")
+    sizes = counts.groupBy("level").agg(F.sum("c").alias("size")).filter(F.col("size") >= least)
+    levels = sorted((r["level"], r["size"]) for r in sizes.orderBy(F.desc("size"), "level").limit(groups).collect())
+    counts = counts.filter(F.col("level").isin([v for v, _ in levels]))
     if len(levels) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, n_a long, n_b long, distance double")
     wide = counts.groupBy("v").agg(*(F.sum(F.when(F.col("level") == v, F.col("c")).otherwise(0)).alias(f"c{i}") for i, (v, _) in enumerate(levels)))
