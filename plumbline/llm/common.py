@@ -2,66 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import lookup
+from plumbline.sources.scratch import app_dir, file_system, materialize, scratch_path
+
+__all__ = ["ascii_lower", "drop_scratch", "let", "lookup", "materialize", "partitions", "read", "scratch_path", "settled", "strip", "words"]
+
 #: White space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    A session on one machine that names none gets a folder of its own; on a
-    cluster that is an error, since executors could not read each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    named = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def _app_dir(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder; all of them go when the driver ends."""
-    folder = _app_dir(spark)
-    fs, at = _file_system(spark, folder)
-    if not fs.exists(at):
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-    return f"{folder}/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    Cuts the lineage so that a lost executor costs a read and not a
-    recomputation, gives joins above it plain exchanges that adaptive execution
-    can split, and lets later steps read single columns.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` itself where it is a narrow pass over its source, else written: a task that runs again sees the same rows in the same order."""
     return materialize(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
@@ -69,7 +23,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes at once what :func:`materialize` wrote for this application; results that still read it end with it."""
-    fs, at = _file_system(spark, _app_dir(spark))
+    fs, at = file_system(spark, app_dir(spark))
     fs.delete(at, True)
 
 
@@ -103,29 +57,3 @@ def strip(c: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """Size of a table as the optimizer knows it: for one just written, that of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-#: A lookup table is broadcast up to so many rows and bytes of its files, both measured before; larger ones go through a salted join.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
-#: Ways over which a salted join deals the rows of one key.
-SALTS = 32
-
-
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``big`` joined with ``small``, whose rows are few per key, so that a hot key never becomes one task.
-
-    ``small`` is written and measured.  Up to ``limit`` rows and a bounded size it is broadcast;
-    beyond, each of its rows is repeated for every salt and the rows of ``big``
-    are dealt over the salts by the hash of ``spread``.  Null keys match nothing.
-    """
-    small = materialize(small, "lookup")
-    if small.count() <= limit and size_in_bytes(small) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), keys, how)
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return big.join(small, [*keys, "_salt"], how).drop("_salt")

@@ -117,7 +117,6 @@ def test_damage_is_noticed(spark, path):
 
 
 def test_many_shared_groups_go_through_the_salted_join(spark, path, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common.lookup, "__defaults__", ("left", 0))
     test_contract(spark, path)
 
