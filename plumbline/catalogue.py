@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline import catalogue_decisions
 from plumbline.catalogue_sql import SQL
 from plumbline.functions.exprs import bucket, label
 from plumbline.operators import charts, evidence, ordered, profile, sampling, structure, typing
@@ -436,9 +437,13 @@ def gap_flags(read):
     return found.select("series", F.col("x").cast("string").alias("x"), "gap")
 
 
+for _f in catalogue_decisions.QUERIES.values():
+    query(_f)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (SQL | catalogue_decisions.SQL).items() if k in _QUERIES}

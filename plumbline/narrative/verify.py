@@ -26,19 +26,62 @@ _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d{4}-\d{2}-\d{2}|[-−]?\d[
 _LATIN = re.compile(r"[\s\w.,;:()%'’\"\-−–—/+]*", re.ASCII)
 
 
-def _numbers_fit(text: str, claim: Claim) -> list[str]:
-    """Numbers that quote nothing: whole ones must be exact, decimals right to their digits, percentages a hundred times a fact."""
+def _quotes(written: str, fact: float) -> bool:
+    """Whether a written number is this fact: whole ones exact, decimals right to their digits, percentages a hundred times."""
+    digits = written.replace(",", "").replace("−", "-")
+    scale = 100.0 if digits.endswith("%") else 1.0
+    value, places = float(digits.rstrip("%")), len(digits.rstrip("%").partition(".")[2])
+    exact = places or scale > 1 or float(fact).is_integer() or abs(fact) >= 1000
+    share = scale == 1 or abs(fact) <= 1  # only shares and correlations have percentages
+    return bool(exact and share) and any(abs(round(f * scale, places) - value) < 1e-9 for f in (fact, abs(fact)))
+
+
+def _numbers_fit(quoted: str, spots: list[tuple[int, str]], claim: Claim) -> list[str]:
+    """Numbers that quote nothing, and numbers of one group that stand beside another.
+
+    A number that only a group has belongs to the label it is said to be for
+    ("4 for blue"), else to the label before it, else to the one after.
+    """
+    values = dict(claim.groups)
+    labels = [(at, name) for at, name in spots if name in values]
+    free = [f for f in claim.numbers if f not in values.values()] + [float(len(claim.groups))]
     bad = []
-    for raw in re.findall(r"(?<![\w.])[-−]?\d[\d,]*(?:\.\d+)?%?(?![\w])", text):
-        digits = raw.replace(",", "").replace("−", "-")
-        value, scale = float(digits.rstrip("%")), 100.0 if digits.endswith("%") else 1.0
-        places = len(digits.rstrip("%").partition(".")[2])
-        facts = [f * scale for f in claim.numbers] + [abs(f) * scale for f in claim.numbers]
-        if not any(abs(round(f, places) - value) < 1e-9 and (places or scale > 1 or float(f).is_integer() or abs(f) >= 1000) for f in facts):
-            bad.append(raw)
+    for m in re.finditer(r"(?<![\w.])[-−]?\d[\d,]*(?:\.\d+)?%?(?![\w])", quoted):
+        if any(_quotes(m[0], f) for f in free):
+            continue
+        owners = {name for name, v in values.items() if _quotes(m[0], v)}
+        if not owners:
+            bad.append(f"number {m[0]} is not in the evidence")
+        elif labels:
+            before, after = [x for x in labels if x[0] < m.start()], [x for x in labels if x[0] > m.start()]
+            said = after and re.fullmatch(r"\s*(?:for|in|of|at|within)\s+(?:the\s+)?(?:\x00+\s+)?", quoted[m.end() : min(after)[0]])
+            beside = (min(after) if said or not before else max(before))[1]
+            if beside not in owners:
+                bad.append(f"number {m[0]} is that of {sorted(owners)[0]}, not of {beside}")
+        elif len(values) > 1:
+            bad.append(f"number {m[0]} names no group")
     return bad
 
 
+_GROUPS = r"(?:groups?|levels?|categor(?:y|ies))"
+
+
+def _universals(text: str, claim: Claim) -> list[str]:
+    """Words of universality that are not about the groups of the claim."""
+    group = claim.columns.get("group")
+    about = rf"(?:{re.escape(group)}|{_GROUPS})" if group else _GROUPS
+    out = []
+    for m in re.finditer(r"[A-Za-z]+", text):
+        word = m[0].lower()
+        if word in ("every", "all", "any"):
+            overall = claim.reversed_overall and text[m.start() :].startswith("all rows together")
+            if not overall and not re.match(rf"(?:\W+\w+){{0,3}}?\W+{about}(?!\w)", text[m.end() :]):
+                out.append(f"'{m[0]}' is not about the groups")
+        elif word in EVERY and not re.search(rf"(?<!\w){about}(?!\w)", text):
+            out.append(f"'{m[0]}' is not about the groups")
+    return out
+
+
 def problems(text: str, claim: Claim) -> list[str]:
     """Everything in ``text`` that the claim does not bear; empty where it may be shown."""
     own = [*claim.columns.values(), *claim.labels]
@@ -57,7 +100,7 @@ def problems(text: str, claim: Claim) -> list[str]:
         rest = rest.replace(claim.change[2], " ")
     if re.search(r"\d{4}-\d{2}-\d{2}", rest):
         out.append("a date that is not the evidence's")
-    out += [f"number {n} is not in the evidence" for n in _numbers_fit(rest, claim)]
+    out += _numbers_fit(quoted.replace(claim.change[2], " " * len(claim.change[2])) if claim.change else quoted, spots, claim)
     words = [w.lower() for w in _WORD.findall(rest) if not w[0].isdigit() and w[0] not in "-−"]
     known = PLAIN | UP | DOWN | TOP | BOTTOM | OPPOSITE | EVERY
     if claim.shape:
@@ -67,6 +110,8 @@ def problems(text: str, claim: Claim) -> list[str]:
     seen = set(words)
     if seen & EVERY and not claim.universal:
         out.append("a claim about every group that is not supported")
+    elif seen & EVERY:
+        out += _universals(text, claim)
     directed = claim.direction in ("positive", "negative")
     for side, sign in ((UP, "positive"), (DOWN, "negative")):
         if seen & side and not (claim.direction == sign or claim.direction == "mixed" and seen & OPPOSITE):

@@ -32,6 +32,10 @@ def test_sentences():
         ("units rises with price in every team.", SLOPES),
         ("The relationship between price and units is in opposite directions across team groups.", FLIPS),
         ("Mean units increased from 1.5 to 4.5 around 2024-03-01.", STEP),
+        ("Average score is 9.04 for team red, 4 for blue and 0.02 for green.", MEANS),
+        ("9.04 is the average score of team red; that of team green is 0.02.", MEANS),
+        ("units rises with price in all team groups: red (0.80) and blue (0.70).", SLOPES),
+        ("units consistently rises with price across the team groups.", SLOPES),
     ],
 )
 def test_supported_texts(text, claim):
@@ -56,12 +60,34 @@ def test_supported_texts(text, claim):
         ("units ↑ 📈", STEP),
         ("", STEP),
         ("Management should raise prices.", SLOPES),
+        # The right number beside the wrong group, or beside none.
+        ("Average score is 9.04 for team blue.", MEANS),
+        ("Average score: team red 4.0, team blue 9.04.", MEANS),
+        ("Average score is highest for team red (4.0).", MEANS),
+        ("Average score is 9.04.", MEANS),
+        ("units rises with price in team red (r = 0.7) and team blue (r = 0.8).", SLOPES),
+        ("units rises with price in team red and in opposite directions in team blue (0.8).", FLIPS),
+        # Universals about anything but the groups.
+        ("units rises with price in all rows.", SLOPES),
+        ("units always rises with price.", SLOPES),
+        ("units rises with price everywhere, in any period.", SLOPES),
+        ("units rises with price in all values of the data.", SLOPES),
+        # A number of another kind, order and negation in disguise.
+        ("Average score is 904% for team red.", MEANS),
+        ("Average score of team red is about 9.05.", MEANS),
+        ("Average score of team green is above team blue.", MEANS),
+        ("Mean units increased from 4.5 to 1.5, not down.", STEP),
     ],
 )
 def test_unsupported_texts(text, claim):
     assert problems(text, claim)
 
 
+@pytest.mark.parametrize("claim", [MEANS, SLOPES, FLIPS, STEP])
+def test_numbers_of_templates_stand_beside_their_groups(claim):
+    assert not [p for p in problems(sentence(claim), claim) if "number" in p or "about the groups" in p]
+
+
 @given(st.text(alphabet=st.characters(codec="utf-8"), min_size=1, max_size=60))
 def test_random_text_is_refused_unless_made_of_known_words(text):
     if not problems(text, MEANS):
@@ -154,3 +180,19 @@ def test_json_in_answers():
             prov.find_json(bad)
     with pytest.raises(prov.ProviderError, match="misconfigured"):
         prov.ChatCompletions().complete([])
+
+
+def test_a_probe_without_a_p_value_is_no_finding_and_loosens_nothing(engine, key, monkeypatch):
+    from plumbline.narrative import workflow
+    from plumbline.operators.probes import Result
+
+    def answer(p):
+        return Result("distribution_difference", {}, "pass", 0.5, "", 100, 50, p, (0.25, 0.12), {"groups": []}, {"overall": 1.0})
+
+    asked = [h("distribution_difference", 5, group="team", target="spread"), h("distribution_difference", 4, group="state", target="spread")]
+    seen = []
+    monkeypatch.setattr(engine, "probe", lambda key, requests: [answer(None), answer(0.03)])
+    monkeypatch.setattr(workflow.tails, "holm", lambda p, alpha: seen.append(list(p)) or [x <= alpha / len(p) for x in p])
+    report = Narrator(engine, Fake({"hypotheses": asked}, {})).report(key, refresh=True)
+    assert seen == [[0.03]] and [f.id for f in report.insights] == [2]
+    assert dict(report.dropped)[1] == "not significant among the probes of this run"
