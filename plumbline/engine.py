@@ -16,7 +16,7 @@ from plumbline.plans.confidence import excluded
 from plumbline.plans.model import Profile, Spec
 from plumbline.plans.recommend import recommend
 from plumbline.plans.roles import role_of
-from plumbline.sources.store import Store, publish
+from plumbline.sources.store import Store
 
 PREVIEW = (1, 50, 1000)
 #: Samples kept in memory.
@@ -45,9 +45,10 @@ class Engine:
         return self.store.list()
 
     def preview(self, key: str, n: int = PREVIEW[1]) -> list[dict]:
-        """The first rows as JSON-safe records; ``n`` is held between 1 and 1000."""
+        """The first rows in order of their columns, as JSON-safe records; ``n`` is held between 1 and 1000."""
         n = max(PREVIEW[0], min(PREVIEW[2], n))
-        return [{k: plain(v) for k, v in r.asDict().items()} for r in self.store.frame(key).limit(n).collect()]
+        df = self.store.frame(key)
+        return [{k: plain(v) for k, v in r.asDict().items()} for r in df.orderBy(*(c for c, t in df.dtypes if not t.startswith("map"))).limit(n).collect()]
 
     def _lock(self, key: str) -> threading.Lock:
         with self._guard:
@@ -59,12 +60,11 @@ class Engine:
             return self._profiles[key]
         with self._lock(key):
             if key not in self._profiles:
-                path = self.store.root / f"{key}.profile"
                 try:
-                    found = Profile.from_json(path.read_text())
-                except (OSError, ValueError):
+                    found = Profile.from_json(self.store.profile_text(key) or "")
+                except ValueError:
                     found = profile_dataset(self.store.frame(key), key, self.threshold, self._sample(key))
-                    publish(path, found.to_json())
+                    self.store.publish_profile(key, found.to_json())
                 self._profiles[key] = found
             return self._profiles[key]
 
@@ -95,14 +95,17 @@ class Engine:
                 rows.unpersist()
             return self._samples[key]
 
-    def probe(self, key: str, requests: list[dict]) -> list:
+    def probes(self, key: str) -> Probes:
+        """What runs probes on a dataset's sample and remembers their results."""
         profile = self.profile(key)
         with self._lock(key):
             sample = self._sample(key)
             if key not in self._probes:
                 self._probes[key] = Probes(typing.apply_casts(sample, {c.name: c.cast for c in profile.columns}), profile)
-            probes = self._probes[key]
-        return probes.run(requests)
+            return self._probes[key]
+
+    def probe(self, key: str, requests: list[dict]) -> list:
+        return self.probes(key).run(requests)
 
     def drop(self, key: str) -> None:
         """Deletes a dataset and what is kept of it."""

@@ -254,12 +254,36 @@ def test_profile_is_computed_once_and_recovers(spark, engine, monkeypatch):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert len(calls) == 1
-    fresh = Engine(spark, str(engine.store.root))
+    fresh = Engine(spark, engine.store.root.path)
     fresh.profile(key)
     assert len(calls) == 1
-    (engine.store.root / f"{key}.profile").write_text("broken")
-    Engine(spark, str(engine.store.root)).profile(key)
-    assert len(calls) == 2 and not list(engine.store.root.glob(".*"))
+    engine.store.publish_profile(key, "broken")
+    Engine(spark, engine.store.root.path).profile(key)
+    assert len(calls) == 2 and engine.store.root.names("_drafts") == []
+
+
+def test_files_are_published_whole_and_once(spark, tmp_path):
+    from plumbline.sources.files import Folder
+
+    folder = Folder(spark, f"file://{tmp_path}")
+    assert folder.publish("a/x", "one") and not folder.publish("a/x", "two") and folder.read("a/x") == "one"
+    assert folder.publish("a/x", "three", replace=True) and folder.read("a/x") == "three" and folder.size("a/x") == 5
+    assert folder.names("a") == ["x"] and folder.names("none") == [] and folder.names("_drafts") == []
+    folder.delete("a")
+    assert not folder.exists("a/x")
+
+
+def test_large_tables_are_not_kept_in_memory(spark, tmp_path, monkeypatch):
+    small = store.Store(spark, f"file://{tmp_path}/s")
+    assert small.frame(small.save(spark.range(10), "t")["dataset_id"]).is_cached
+    monkeypatch.setattr(store, "CACHED_BYTES", 1)
+    assert not small.frame(small.save(spark.range(10), "u")["dataset_id"]).is_cached
+
+
+def test_uploads_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_BYTES", 10)
+    with pytest.raises(loader.TooLarge):
+        store.Store(spark, str(tmp_path / "u")).upload(write(tmp_path / "big.csv", "a,b\n1,2\n3,4\n"))
 
 
 def write(path, data):
