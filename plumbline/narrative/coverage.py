@@ -56,6 +56,27 @@ def covered(test: str, columns: dict[str, str], profile: Profile) -> dict | None
     return None
 
 
+#: Fixed value: a correlation that counts as a relationship inside a group.
+GROUP_CORRELATION = 0.30
+
+
+def uncorroborated(test: str, columns: dict[str, str], verdict: str, evidence: dict, profile: Profile) -> str | None:
+    """Why a finding from the largest of many comparisons needs more than itself; None where it has it, or needs nothing.
+
+    A weak distance of distributions needs means that differ at least weakly; a
+    spread of correlations needs one group with a correlation worth the name.
+    """
+    rows = evidence.get("groups") or []
+    if test == "slope_difference":
+        strongest = max((abs(r["corr"]) for r in rows if r.get("corr") is not None), default=0.0)
+        return None if strongest >= GROUP_CORRELATION else f"correlations differ, but none is over {GROUP_CORRELATION:g} (strongest {strongest:.2f})"
+    if test == "distribution_difference" and verdict == "weak":
+        found = Evidence(profile).effect.get((columns["group"], columns["target"]))
+        eta = found["eta_squared"] if found else 0.0
+        return None if eta >= THRESHOLDS["group_difference"][1] else f"distributions differ weakly, and their means do not (eta squared {eta:.3f})"
+    return None
+
+
 def capped(hit: dict, overall: float) -> dict:
     """A pass becomes weak on little confidence or few rows."""
     low = overall < 0.5 or hit["n"] < ROWS or hit["n_min"] is not None and hit["n_min"] < ROWS

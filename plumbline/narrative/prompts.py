@@ -8,6 +8,9 @@ from plumbline.operators.probes import ROLES
 from plumbline.plans.model import Profile, Recommendation
 from plumbline.plans.roles import role_of
 
+#: Part of the key of kept reports: changed with every change of a prompt.
+VERSION = 1
+
 COLUMNS, PAIRS, PER_KIND, ROWS, CELL = 40, 8, 3, 5, 100
 
 TASK = """You propose hypotheses about one table. Answer with a JSON object {"hypotheses": [...], "charts": [...]}.

@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 from plumbline.engine import Engine
 from plumbline.functions import tails
 from plumbline.narrative.claims import claim_of, sentence
-from plumbline.narrative.coverage import capped, covered
-from plumbline.narrative.prompts import hypothesis_messages, wording_messages
+from plumbline.narrative.coverage import capped, covered, uncorroborated
+from plumbline.narrative.prompts import VERSION, hypothesis_messages, wording_messages
 from plumbline.narrative.provider import Disabled, Provider, ProviderError
 from plumbline.narrative.verify import problems
 from plumbline.operators.probes import ROLES, ROWS, Request, RequestError, Result, check
@@ -138,8 +138,9 @@ class Workflow:
                 continue
             if chart is not None:
                 hit = capped(hit, assess(chart, self.profile)[0]["overall"])
-            if hit["verdict"] == "fail":
-                self._drop(i, f"the evidence fails: effect {hit['effect']:.3f}")
+            alone = uncorroborated(req.type, columns, hit["verdict"], hit["evidence"], self.profile)
+            if hit["verdict"] == "fail" or alone:
+                self._drop(i, alone or f"the evidence fails: effect {hit['effect']:.3f}")
             else:
                 found.append(Finding(i, req.type, columns, hit["verdict"], hit["effect"], hit["evidence"], "evidence", chart))
         results = self.engine.probe(self.key, [{"type": r.type, "columns": dict(r.columns)} for _, r, _ in queue]) if queue else []
@@ -148,8 +149,9 @@ class Workflow:
         held = iter(tails.holm(with_p, ALPHA))
         for (i, req, chart), r in tested:
             ok = r.p_value is not None and next(held)  # without a p-value a probe is no member of the family, and no finding
-            if r.verdict == "fail" or not ok:
-                self._drop(i, "the probe fails" if r.verdict == "fail" else "not significant among the probes of this run")
+            alone = uncorroborated(req.type, dict(req.columns), r.verdict, r.evidence, self.profile)
+            if r.verdict == "fail" or not ok or alone:
+                self._drop(i, "the probe fails" if r.verdict == "fail" else "not significant among the probes of this run" if not ok else alone)
             else:
                 found.append(Finding(i, req.type, dict(req.columns), r.verdict, r.effect_size, r.evidence, "probe", chart or r.chart))
         for (i, _, _), r in zip(queue, results):
@@ -231,7 +233,7 @@ class Narrator:
         self._guard = threading.Lock()
 
     def report(self, key: str, refresh: bool = False) -> Report:
-        ident = (key, self.provider.identity, self.engine.profile(key).version)
+        ident = (key, self.provider.identity, self.engine.profile(key).version, VERSION)
         asked = time.monotonic()
         with self._guard:
             lock = self._locks.setdefault(ident, threading.Lock())
@@ -242,3 +244,12 @@ class Narrator:
                 found = Workflow(self.engine, key, self.provider).run()
                 self._known[ident] = (time.monotonic(), found)
             return found
+
+    def recommendations(self, key: str, llm: bool = True, debug: bool = False, refresh: bool = False) -> dict:
+        """Charts and warnings, with insights where the provider may be asked (``llm``), and what became of its proposals (``debug``)."""
+        out = self.engine.recommend(key)
+        if not llm:
+            return out | {"insights": []}
+        report = self.report(key, refresh)
+        out = out | {"recommendations": report.recommendations, "insights": report.insights}
+        return out | {"debug": {"message": report.message, "dropped": [{"hypothesis": i, "reason": why} for i, why in report.dropped]}} if debug else out

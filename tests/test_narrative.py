@@ -6,6 +6,7 @@ from tables import groups
 from plumbline.engine import Engine
 from plumbline.narrative import provider as prov
 from plumbline.narrative.claims import claim_of, sentence
+from plumbline.narrative.coverage import uncorroborated
 from plumbline.narrative.prompts import describe
 from plumbline.narrative.verify import problems
 from plumbline.narrative.workflow import Narrator, implied
@@ -143,6 +144,30 @@ def test_workflow(engine, key):
     assert len(report.recommendations) <= 12
 
 
+def test_the_largest_of_many_comparisons_needs_another_sign(engine, key):
+    p = engine.profile(key)
+    slopes = lambda *r: {"groups": [{"level": str(i), "corr": x} for i, x in enumerate(r)]}
+    assert uncorroborated("slope_difference", {}, "pass", slopes(0.2, -0.2), p) and uncorroborated("slope_difference", {}, "pass", {}, p)
+    assert uncorroborated("slope_difference", {}, "pass", slopes(0.5, -0.2, None), p) is None
+    weak = {"group": "team", "target": "x"}
+    assert uncorroborated("distribution_difference", weak, "weak", {}, p) and uncorroborated("distribution_difference", weak, "pass", {}, p) is None
+    assert uncorroborated("distribution_difference", {"group": "team", "target": "shifted"}, "weak", {}, p) is None
+    assert uncorroborated("group_difference", weak, "weak", {}, p) is None
+
+
+def test_recommendations_with_and_without_a_provider(engine, key, monkeypatch):
+    fake = Fake({"hypotheses": ["nonsense", h("group_difference", group="team", target="x")], "charts": []}, {})
+    n = Narrator(engine, fake)
+    assert n.recommendations(key, llm=False) == engine.recommend(key) | {"insights": []} and not fake.seen
+    got = n.recommendations(key, debug=True)
+    assert set(got) == {"recommendations", "warnings", "insights", "debug"} and got["debug"]["dropped"]
+    assert "debug" not in n.recommendations(key) and len(fake.seen) == 1
+    monkeypatch.setattr("plumbline.narrative.workflow.VERSION", 99)
+    fake.answers += [{}, {}]
+    n.report(key)
+    assert len(fake.seen) == 2  # another version of the prompts is another report
+
+
 def test_failures_fall_back(engine, key):
     report = Narrator(engine, Fake(prov.ProviderError("timeout"))).report(key)
     assert report.message and not report.insights and report.recommendations
