@@ -19,10 +19,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.files import Folder
+
 from .packing import Encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -73,61 +74,28 @@ class Rollup:
     """
 
     def __init__(self, spark: SparkSession, path: str, compact: int = COMPACT):
-        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact
-        self._jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(conf)
-        self._files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(self._at("")).toUri(), conf)
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _names(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder))) if self._fs.exists(self._at(folder)) else []
-
-    def _publish(self, name: str, text: str) -> bool:
-        """Makes the file ``name`` with its whole text; False where there is one already."""
-        draft = self._at(f"drafts/{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self._fs.mkdirs(self._at(name).getParent())
-        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.NONE
-        try:
-            self._files.rename(draft, self._at(name), how)
-        except Py4JJavaError:
-            self._fs.delete(draft, False)
-            if self._fs.exists(self._at(name)):
-                return False
-            raise
-        return True
+        self.spark, self.files, self.compact_after = spark, Folder(spark, path), compact
 
     def _text(self, name: str) -> str:
-        stream = self._fs.open(self._at(name))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        text = self.files.read(name)
         if not text:
-            raise OSError(f"{self.path}/{name} is empty: its batch is in doubt")
+            raise OSError(f"{self.files / name} is empty: its batch is in doubt")
         return text
 
     def committed(self) -> list[str]:
         """Ids of the batches that count."""
-        return [n for n in self._names("commits") if not n.startswith(".")]
+        return self.files.names("commits")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch once; False where a batch of that id counts already."""
         if not batch or "/" in batch or "\n" in batch or batch.startswith((".", "_")):
             raise ValueError(f"no batch id: {batch!r}")
-        if self._fs.exists(self._at(f"commits/{batch}")):
+        if self.files.exists(f"commits/{batch}"):
             self._text(f"commits/{batch}")
             return False
         attempt = uuid.uuid4().hex
-        deltas(changes).write.parquet(f"{self.path}/deltas/{batch}/{attempt}")
-        if not self._publish(f"commits/{batch}", attempt):
+        deltas(changes).write.parquet(self.files / f"deltas/{batch}/{attempt}")
+        if not self.files.publish(f"commits/{batch}", attempt):
             return False
         if len(self._state()[1]) > self.compact_after:
             self.compact()
@@ -135,15 +103,15 @@ class Rollup:
 
     def _state(self) -> tuple[str | None, list[str], set[str], int]:
         """Folder of the base, batches committed since, batches in the base, and the number of its manifest."""
-        numbers = [int(n) for n in self._names("manifests") if n.isdigit()]
+        numbers = [int(n) for n in self.files.names("manifests") if n.isdigit()]
         if not numbers:
             return None, self.committed(), set(), 0
         base, *inside = self._text(f"manifests/{max(numbers):09d}").split("\n")
         inside = set(inside)
-        return f"{self.path}/bases/{base}", [b for b in self.committed() if b not in inside], inside, max(numbers)
+        return self.files / f"bases/{base}", [b for b in self.committed() if b not in inside], inside, max(numbers)
 
     def _sums(self, base: str | None, batches: list[str]) -> DataFrame:
-        paths = [*([base] if base else []), *(f"{self.path}/deltas/{b}/{self._text(f'commits/{b}')}" for b in batches)]
+        paths = [*([base] if base else []), *(self.files / f"deltas/{b}/{self._text(f'commits/{b}')}" for b in batches)]
         rows = self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], _TOTALS)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
@@ -153,8 +121,8 @@ class Rollup:
         if not batches:
             return False
         attempt = uuid.uuid4().hex
-        self._sums(base, batches).write.parquet(f"{self.path}/bases/{attempt}")
-        return self._publish(f"manifests/{number + 1:09d}", "\n".join([attempt, *sorted(inside), *batches]))
+        self._sums(base, batches).write.parquet(self.files / f"bases/{attempt}")
+        return self.files.publish(f"manifests/{number + 1:09d}", "\n".join([attempt, *sorted(inside), *batches]))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches; keys whose sums are all 0 are gone."""

@@ -49,17 +49,17 @@ def test_very_long_and_empty_texts(spark):
 
 def test_a_lost_commit_leaves_nothing_behind_and_can_be_sent_again(spark, rollup, monkeypatch):
     batch = changes(spark, [("a", "en", "v1", "insert", 10, None)])
-    rename = rollup._publish
-    monkeypatch.setattr(rollup, "_publish", lambda *x: (_ for _ in ()).throw(KeyboardInterrupt))
+    rename = rollup.files.publish
+    monkeypatch.setattr(rollup.files, "publish", lambda *x: (_ for _ in ()).throw(KeyboardInterrupt))
     with pytest.raises(KeyboardInterrupt):
         rollup.commit("b", batch)  # the driver dies before its commit file is in place
-    monkeypatch.setattr(rollup, "_publish", rename)
+    monkeypatch.setattr(rollup.files, "publish", rename)
     assert totals(rollup) == {} and rollup.committed() == []
     assert rollup.commit("b", batch) and totals(rollup) == {("a", "en", "v1"): (1, 10)}
 
 
 def test_an_empty_commit_file_is_an_error_and_not_a_lost_batch(spark, rollup):
-    rollup._fs.create(rollup._at("commits/b"), False).close()
+    rollup.files.publish("commits/b", "")
     with pytest.raises(OSError):
         rollup.commit("b", changes(spark, [("a", "en", "v1", "insert", 10, None)]))
     with pytest.raises(OSError):
@@ -76,7 +76,7 @@ def test_totals_are_a_base_and_the_deltas_since(spark, rollup):
     base, since, inside, number = rollup._state()
     assert base and len(inside) == 8 and since == ["b8"] and number == 2
     # The deltas in the base are not read again.
-    rollup._fs.delete(rollup._at("deltas/b0"), True)
+    rollup.files.delete("deltas/b0")
     assert totals(rollup) == {("a", "en", "v1"): (9, want)} and not rollup.commit("b0", changes(spark, []))
 
 
@@ -105,8 +105,8 @@ def test_batches_count_once(spark, rollup):
     assert rollup.commit("b", batch) and not rollup.commit("b", batch)
     assert totals(rollup) == {("a", "en", "v1"): (1, 10)}
     # An attempt without a commit, as a lost driver leaves it, does not count.
-    token_rollup.deltas(batch).write.parquet(f"{rollup.path}/deltas/lost/attempt")
-    token_rollup.deltas(batch).write.parquet(f"{rollup.path}/deltas/b/second-attempt")
+    token_rollup.deltas(batch).write.parquet(f"{rollup.files.path}/deltas/lost/attempt")
+    token_rollup.deltas(batch).write.parquet(f"{rollup.files.path}/deltas/b/second-attempt")
     assert totals(rollup) == {("a", "en", "v1"): (1, 10)} and rollup.committed() == ["b"]
 
 
