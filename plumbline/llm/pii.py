@@ -5,7 +5,8 @@ IPv4: octets, SSN: area, group and serial, dates: the calendar) and permuted
 within their format, so that a pseudonym passes the same rule and equal values
 get equal pseudonyms in every document.  Phone numbers, mail names and access
 keys are permuted the same way, each character within its class.  Separators,
-mail domains, country codes and key prefixes stay.
+mail domains, country codes and key prefixes stay, and so does the name before a
+secret value ("token = ...").
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SHAPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}",
     "iban": rf"(?:{_IBAN_OF_COUNTRY}|" r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)",
     "key": r"AKIA[A-Z0-9]{16}",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key) ?[=:] ?[\"']?[A-Za-z0-9_\-]{16,128}",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}|\+[0-9](?:[ .\-]?[0-9]){7,14}|\+[0-9]{1,3}[ .\-][0-9]{1,4}(?:[ .\-][0-9]{2,4}){1,4})",
@@ -49,10 +51,10 @@ def _number(hexes: Column, at: Column | int, digits: int) -> Column:
 
 
 def _shifted(c: Column, by: Column) -> Column:
-    """A character moved within its class: digits, lower case, upper case, and 2-9 written as U+00C0 on."""
+    """A character moved within its class: digits, lower case, upper case, 2-9 written as U+00C0 on, hexadecimal digits as U+00D0 on."""
     code = F.ascii(c)
     move = lambda first, n: F.char(F.lit(first) + F.pmod(code - first + by, F.lit(n)))
-    return F.when(code.between(48, 57), move(48, 10)).when(code.between(97, 122), move(97, 26)).when(code.between(65, 90), move(65, 26)).when(code.between(192, 199), move(192, 8)).otherwise(c)
+    return F.when(code.between(48, 57), move(48, 10)).when(code.between(97, 122), move(97, 26)).when(code.between(65, 90), move(65, 26)).when(code.between(192, 199), move(192, 8)).when(code.between(208, 223), move(208, 16)).otherwise(c)
 
 
 def _moved(half: Column, other: Column, tweak: Column) -> Column:
@@ -194,7 +196,20 @@ def _key(m: Column, key: str) -> Column:
     return F.concat(F.lit("AKIA"), feistel(F.substring(m, 5, 16), key, "key"))
 
 
-KINDS = {"email": _email, "iban": _iban, "key": _key, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
+def _secret(m: Column, key: str) -> Column:
+    """The value after its name; hexadecimal digits stay such, in one case."""
+    head = F.regexp_extract(m, r"^[A-Za-z_\-]+ ?[=:] ?[\"']?", 0)
+    digits, marks = "0123456789abcdef", "".join(map(chr, range(208, 224)))
+
+    def fresh(core: Column) -> Column:
+        hexed = F.translate(feistel(F.translate(F.lower(core), digits, marks), key, "secret"), marks, digits)
+        return F.when(core.rlike("^[0-9a-f]+$"), hexed).when(core.rlike("^[0-9A-F]+$"), F.upper(hexed)).otherwise(feistel(core, key, "secret"))
+
+    value = lambda h: F.substring(m, F.length(h) + 1, F.length(m))
+    return let(head, lambda h: F.concat(h, refill(value(h), let(_alnum(value(h)), fresh))))
+
+
+KINDS = {"email": _email, "iban": _iban, "key": _key, "secret": _secret, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
 
 
 def pseudonym(m: Column, key: str) -> Column:

@@ -122,6 +122,9 @@ def test_ibans_before_other_words_time_stamps_and_plain_phones(spark):
 # A second version of the whole operator, character by character: the format rules and the networks written anew.
 
 
+MARKS = "".join(chr(208 + i) for i in range(16))
+
+
 def draw(key, kind, turn, other, block):
     return sha256(f"{key}|{kind}|{turn}|{other}|{block}".encode()).hexdigest()
 
@@ -131,7 +134,7 @@ def move(half, other, key, kind, turn):
     out = []
     for i, c in enumerate(half):
         n = int(hexes[4 * (i % 32) : 4 * (i % 32) + 4], 16)
-        for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇ"):
+        for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇ", MARKS):
             if c in alphabet:
                 c = alphabet[(alphabet.index(c) + n) % len(alphabet)]
                 break
@@ -223,6 +226,15 @@ def twin(kind, m, key):
         return pour(name, network(re.sub("[^A-Za-z0-9]", "", name), key, "email")) + m[len(name) :]
     if kind == "key":
         return "AKIA" + network(m[4:20], key, "key")
+    if kind == "secret":
+        head = re.match(r"[A-Za-z_-]+ ?[=:] ?[\"']?", m)[0]
+        core = re.sub("[^A-Za-z0-9]", "", m[len(head) :])
+        hexed = re.fullmatch("[0-9a-f]+|[0-9A-F]+", core)
+        if not hexed:
+            return head + pour(m[len(head) :], network(core, key, "secret"))
+        moved = network("".join(MARKS[int(c, 16)] for c in core), key, "secret")
+        text = "".join("0123456789abcdef"[MARKS.index(c)] for c in moved)
+        return head + pour(m[len(head) :], text.upper() if re.search("[A-F]", core) else text)
     return twin_date(m, key)
 
 
@@ -248,12 +260,19 @@ def test_documents_against_the_second_version(spark):
 
 
 def test_planted_values_against_the_second_version(docs):
-    planted = [*CASES.values(), "ES9121000418450200051332 2021", "BE68539007547034 PAID", "1984-03-07T10:00:00Z", "31/12/1999", "1/2/2003", "13/1/2003", "05.06.1970", "2101-01-01", "+4915112345678", "+49 30 1234567", "666-12-3456", "300.1.1.1", "4111111111111112", "192.168.0.255"]
+    planted = [*CASES.values(), "ES9121000418450200051332 2021", "BE68539007547034 PAID", "1984-03-07T10:00:00Z", "31/12/1999", "1/2/2003", "13/1/2003", "05.06.1970", "2101-01-01", "+4915112345678", "+49 30 1234567", "666-12-3456", "300.1.1.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "API_KEY: 9233A8ECF7C5B09FE5949719B6B82BC4", "password=correct-horse-Battery-9", "secret=short", "token = 1234567890123456", "4111111111111112", "192.168.0.255"]
     rows = [(i, f"{v}, and ({planted[i - 1]}) then\n{v}.") for i, v in enumerate(planted)] + [(100, None), (101, ""), (102, "q " * 100000 + " 10.0.0.1 ")]
     got = {r.doc_id: (r.text, r.n_private) for r in pii.pseudonymize(docs(rows), KEY).collect()}
     assert got == {i: twin_text(t, KEY) for i, t in rows}
 
 
+def test_secrets_keep_their_name_and_their_alphabet(spark):
+    lower, upper, mixed, short = swap(spark, ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "x API-KEY=9233A8ECF7C5B09FE5949719B6B82BC4.", "Password: correct-horse-Battery-9", "secret = too_short"])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', lower) and "04dbebab" not in lower
+    assert re.fullmatch(r"x API-KEY=[0-9A-F]{32}\.", upper) and "9233A8" not in upper
+    assert shape(mixed) == shape("Password: correct-horse-Battery-9") and "horse" not in mixed and short == "secret = too_short"
+
+
 def test_a_walk_that_never_fits_is_an_error(spark):
     never = spark.range(1).select(pii._walk(F.col("id"), lambda x: x + 1, lambda x: x > 1000).alias("v"))
     with pytest.raises(PySparkException):
