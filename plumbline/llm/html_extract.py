@@ -27,7 +27,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
+from operator import xor
 
 import pyarrow as pa
 import xxhash
@@ -38,7 +40,7 @@ from .common import lookup, materialize
 
 #: Weight that each further presentation takes from the children of a node, and the importance under which it is template.
 DAMPING = 0.9
-LOW = 0.4
+LOW = 0.5
 #: A node is judged from this share of the distinct pages of its host, and from so many pages.
 JUDGED_SHARE, JUDGED_PAGES = 0.1, 3
 #: Share of the pages on which one and the same text is template.
@@ -233,8 +235,11 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shown = []
             blocks = parse(html.as_py() or "", shown=shown)
             same.append(_signed(_hash("\n\n".join(text for _, text in _article(blocks)))))
-            rows = {(n.key, up.key, n.depth, n.tag in ROOTS or n.inside and n.tag in LABELS, style) for n, up, style in shown}
-            nodes.append([dict(zip(("node", "parent", "depth", "fixed", "style"), (_signed(k), _signed(p), d, f, _signed(s)))) for k, p, d, f, s in sorted(rows)])
+            looks: dict[int, tuple[Node, Node, set[int]]] = {}
+            for n, up, style in shown:
+                looks.setdefault(n.key, (n, up, set()))[2].add(style)
+            # A page shows a node in one presentation: all the sequences of children it has there.
+            nodes.append([{"node": _signed(k), "parent": _signed(up.key), "depth": n.depth, "fixed": n.tag in ROOTS or n.inside and n.tag in LABELS, "style": _signed(reduce(xor, styles))} for k, (n, up, styles) in sorted(looks.items())])
             texts.append([{"node": _signed(k), "text": _signed(t)} for k, t in sorted({(node.key, key) for node, key, _, _ in blocks})])
         columns = [batch.column("page_id"), batch.column("host"), pa.array(same, pa.int64()), pa.array(nodes, pa.list_(node_type)), pa.array(texts, pa.list_(text_type))]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "same", "nodes", "texts"])

@@ -99,11 +99,18 @@ def test_noise_against_its_definition():
     node = lambda key, up, depth, **x: {"node": key, "parent": up, "depth": depth, "fixed": False, "pages": 10, "styles": 1, "presentation": 0.0, "texts": 0, "content": 1.0, "loose": 0} | x
     menu, item, body = node(2, 1, 2), node(3, 2, 3, texts=10, content=0.0), node(4, 1, 2, texts=10, content=1.0)
     root = node(1, 0, 1, fixed=True)
-    assert html_extract.noise([root, menu, item, body]) == [2]
-    assert html_extract.noise([root, menu | {"loose": 10}, item, body]) == [3]
-    assert html_extract.noise([root, menu, item | {"fixed": True}, body]) == [2]
-    assert html_extract.noise([root, menu | {"styles": 40, "presentation": 0.9}, item, body]) == [3]
-    assert html_extract.noise([root, menu, item]) == [2] and html_extract.noise([]) == []
+    noise = lambda nodes: html_extract.noise(nodes, 0.4)
+    assert noise([root, menu, item, body]) == [2]
+    assert noise([root, menu | {"loose": 10}, item, body]) == [3]
+    assert noise([root, menu, item | {"fixed": True}, body]) == [2]
+    assert noise([root, menu | {"styles": 40, "presentation": 0.9}, item, body]) == [3]
+    assert noise([root, menu, item]) == [2] and noise([]) == []
+
+
+def test_a_node_counts_once_a_page(spark):
+    rows = [(i, f"http://s.example/{i}", f"<body><div><p>{own(i, 'a')}</p><p><b>x</b></p><p><i>{i}</i></p></div></body>") for i in range(5)]
+    pages = spark.createDataFrame(rows, PAGES).select("page_id", F.lit(1).cast("long").alias("host"), "html")
+    assert {r.pages for r in html_extract.StyleTree(pages).nodes().collect()} == {5}
 
 
 def test_copies_under_other_chrome_keep_their_article(spark):
