@@ -27,6 +27,8 @@ SLOPE_PAIRS, SLOPE_CATS, SLOPE_LEVELS, SLOPE_R = 5, 3, (2, 8), 0.3
 TIME_UNITS = ("day", "month", "year")
 NEAR_RHO, NAMED_RHO, NEAR_ROWS = 0.995, 0.98, 30
 FDR_Q = 0.05
+#: Median gaps in days that have a name.
+CADENCES = [(0.9, 1.1, "daily"), (6.5, 7.5, "weekly"), (27.0, 32.0, "monthly")]
 
 
 def span_unit(days: float) -> str:
@@ -81,9 +83,9 @@ def _columns(raw: DataFrame, casted: DataFrame, types: dict, nulls, n_rows: int)
             out[c].top_values.sort(key=lambda v: (-v[1], v[0]))
         for r in profile.category_lists(casted, cats).collect():
             out[r["column"]].n_categories, out[r["column"]].labels = r["n_categories"], r["labels"]
-    for c in of("datetime"):
-        r = profile.datetime_frequency(casted, c).first()
-        out[c].first, out[c].last, out[c].frequency = r["first"], r["last"], r["frequency"]
+    times = of("datetime")
+    for c, t in Rows.of(casted, times=times).times.items() if times else ():
+        out[c].first, out[c].last, out[c].frequency = frequency(t)
     if of("text"):
         for r in profile.text_lengths(casted, of("text")).collect():
             out[r["column"]].stats = {"mean_length": r["mean_length"], "max_length": r["max_length"]}
@@ -101,6 +103,17 @@ def number_stats(v: np.ndarray) -> dict:
     return {"n": len(v), "min": float(v[0]), "max": float(v[-1]), "mean": float(v.mean()), "median": quantile(v, 0.5), "std": spread(v), "q25": nearest(0.25), "q75": nearest(0.75), "skew": skew}
 
 
+def frequency(t: np.ndarray) -> tuple[str | None, str | None, str]:
+    """First and last time and the cadence that the median gap between distinct times shows."""
+    t = np.unique(t[~np.isnat(t)])
+    if not len(t):
+        return None, None, "unknown"
+    written = lambda v: str(v.astype("datetime64[us]").astype(object))
+    gap = float(np.median(np.diff(t).astype(np.int64))) / 8.64e10 if len(t) > 2 else None
+    named = next((name for lo, hi, name in CADENCES if gap is not None and lo <= gap <= hi), "irregular")
+    return written(t[0]), written(t[-1]), "unknown" if gap is None else named
+
+
 def _count_quality(raw: DataFrame, casted: DataFrame, out: dict[str, Column], nums: list[str]) -> None:
     """Missing, token and invalid rows of numeric columns in one pass over raw and cast values."""
     exprs = []
