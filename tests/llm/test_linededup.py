@@ -80,5 +80,10 @@ def test_drop_lines_keeps_columns_and_null_texts(docs):
     assert out[4].text is None and out[5].text == ""
 
 
+def test_very_long_texts(docs):
+    rows = [(1, "\n".join(f"line {i % 30000} of a very long text" for i in range(60000))), (2, "word " * 300000), (3, "\n" * 40000 + "word " * 300000), (4, f"{'word ' * 300000}\nline 7 of a very long text"), (5, "line 7 of a very long text")]
+    assert result(docs(rows)) == brute_force(rows)
+
+
 def test_empty_table(docs):
     assert linededup.line_dedup(docs([])).count() == 0
