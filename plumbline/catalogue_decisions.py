@@ -297,7 +297,40 @@ SELECT * FROM (VALUES (0::BIGINT, 'bar', 0::BIGINT, NULL),
 
 SAMPLE = "SELECT least(count(*), 5000) AS n, least(count(*), 5000) AS distinct, least(count(*), 5000) AS same, least(count(*), 5000) AS known FROM lineitem"
 
+#: The tables whose columns are typed: i whole, f fractional, s text, t time; a star marks the name of an identifier.
+TABLES = {
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:s l_linestatus:s l_shipdate:t",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f o_orderdate:t o_orderpriority:s",
+    "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:f c_mktsegment:s",
+    "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:f",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:f",
+    "nation": "n_nationkey:i n_name:s n_regionkey:i",
+    "region": "r_regionkey:i r_name:s",
+    "events": "event_id:i* ts:t user_id:i* event_type:s value:f props:s",
+    "documents": "doc_id:i* text:s lang:s source:s n_chars:i",
+    "labels": "doc_id:i* quality:i toxic:i",
+}
+_FEW = "greatest(5, least(20, floor(0.05 * {0})))"
+_KINDS = {
+    "i": f"CASE WHEN u = n AND n >= 50 AND lo IN (0, 1) AND hi - lo + 1 = n THEN 'id' WHEN u <= {_FEW.format('rows')} AND hi - lo <= 100 THEN 'categorical' ELSE 'numeric' END",
+    "i*": f"CASE WHEN u / n > 0.95 OR u > greatest({_FEW.format('n')}, 20) THEN 'id' ELSE 'nominal' END",
+    "f": "'numeric'",
+    "t": "'datetime'",
+    "s": "CASE WHEN u / n > 0.95 AND chars > 20 THEN 'text' WHEN u <= least(5000, greatest(50, floor(0.05 * rows))) THEN 'categorical' ELSE 'text' END",
+}
+
+
+def _typed(table: str, column: str, kind: str) -> str:
+    ends = f"min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi" if kind[0] == "i" else "0 AS lo, 0 AS hi"
+    chars = f"avg(length({column}))" if kind == "s" else "0"
+    return f"""SELECT '{table}' AS "table", '{column}' AS "column", CASE WHEN n = 0 THEN 'unknown' ELSE {_KINDS[kind]} END AS verdict
+ FROM (SELECT count(*)::DOUBLE AS rows, count({column})::DOUBLE AS n, count(DISTINCT {column})::DOUBLE AS u, {chars} AS chars, {ends} FROM {table})"""
+
+
+TYPES = "SELECT \"table\", \"column\", CASE verdict WHEN 'nominal' THEN 'categorical' ELSE verdict END AS semantic, verdict = 'nominal' AS nominal, NULL::VARCHAR AS \"cast\" FROM (" + "\nUNION ALL ".join(_typed(t, *c.split(":")) for t, columns in TABLES.items() for c in columns.split()) + ")"
+
 SQL = {
+    "semantic_types": TYPES,
     "probe_verdicts": PROBES,
     "definitional_probes": "SELECT 'l_quantity' AS target, 'rejected' AS answer UNION ALL SELECT 'net', verdict FROM (" + f"WITH b AS ({BANDED}), f AS ({_eta('band', 'net')}) SELECT {VERDICT.format('hi', 'lo')} AS verdict FROM f)",
     "bucket_verdicts": BUCKETS,
