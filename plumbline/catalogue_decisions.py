@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import tails
 from plumbline.operators import dependence, sampling
 from plumbline.operators.bounded import Rows
-from plumbline.operators.curves import curve
+from plumbline.operators.curves import anomalies, curve
 from plumbline.operators.gaps import breaks
 from plumbline.operators.probes import Request, Result, run_probe
-from plumbline.operators.profiler import profile_dataset
+from plumbline.operators.profiler import group_effects, profile_dataset
 from plumbline.operators.robust import quality_of
 from plumbline.plans.model import Spec
 from plumbline.plans.roles import in_order, role_of
@@ -165,6 +165,23 @@ def sentinel_verdicts(read):
     return read("events").sparkSession.createDataFrame(rows, "value double, n long, sentinel_rows long, extreme_count long")
 
 
+def mode_dominated(read):
+    """Quality of a column two thirds of whose rows are zero: what is far out among the others."""
+    value = F.when(F.col("event_id") % 3 < 2, 0.0).otherwise(F.col("value"))
+    q = quality_of(Rows.of(sampling.exact_sample(read("events").select(value.alias("v"))), ["v"]).values("v"))
+    row = (q["concentration"], round(q["mode_share"], 6), q["extreme_count"], len(q["sentinels"]), round(q["robust_range"][0], 6), round(q["robust_range"][1], 6))
+    return read("events").sparkSession.createDataFrame([row], "concentration string, mode_share double, extreme_count long, sentinels long, lo double, hi double")
+
+
+def anomalous_groups(read):
+    """Brands whose mean is far from those of the others; two are shifted."""
+    shift = F.when(F.col("p_brand") == "Brand#7", 5000.0).when(F.col("p_brand") == "Brand#3", -4000.0).otherwise(0.0)
+    df = sampling.exact_sample(read("part").select("p_brand", (F.col("p_retailprice") + shift).alias("v")))
+    held = Rows.of(df, ["v"], ["p_brand"])
+    found = anomalies(group_effects(held.moments(held.cats, ["v"])), {("p_brand", "v"): held.group_table("p_brand", "v")}, set())
+    return df.sparkSession.createDataFrame([(a["group"], a["n"], a["robust_z"], a["diff_sd"]) for a in found], "brand string, n long, robust_z double, diff_sd double")
+
+
 def own_gaps(read):
     """Days before which the line of a priority breaks: longer than any step it takes again and again."""
     days = read("orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day")).distinct().orderBy("day").collect()
@@ -176,7 +193,7 @@ def own_gaps(read):
     return read("orders").sparkSession.createDataFrame(rows, "series string, day string")
 
 
-QUERIES = {f.__name__: f for f in (probe_verdicts, definitional_probes, bucket_verdicts, definitions, column_roles, display_orders, chart_errors, holm_rejections, sample_content, curve_shapes, sentinel_verdicts, own_gaps)}
+QUERIES = {f.__name__: f for f in (probe_verdicts, definitional_probes, bucket_verdicts, definitions, column_roles, display_orders, chart_errors, holm_rejections, sample_content, curve_shapes, sentinel_verdicts, mode_dominated, anomalous_groups, own_gaps)}
 
 # --- the rules as SQL -------------------------------------------------------------------
 
@@ -285,6 +302,20 @@ s AS (SELECT *, pos - lag(pos) OVER (PARTITION BY series ORDER BY day) AS step F
 c AS (SELECT series, max(step) AS cadence FROM (SELECT series, step, count(*) AS n, sum(count(*)) OVER (PARTITION BY series) AS m FROM s WHERE step > 0 GROUP BY 1, 2) WHERE n >= 2 AND n >= 0.1 * m GROUP BY 1)
 SELECT s.series, s.day::VARCHAR AS day FROM s JOIN c USING (series) WHERE step > cadence AND (SELECT count(*) FROM d WHERE d.series = s.series) >= 5"""
 
+DOMINATED = """WITH v AS (SELECT CASE WHEN event_id % 3 < 2 THEN 0.0 ELSE value END AS v FROM events),
+o AS (SELECT v FROM v WHERE abs(v) > 1e-9), q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM o),
+f AS (SELECT q1 - 3 * (q3 - q1) AS a, q3 + 3 * (q3 - q1) AS b FROM q)
+SELECT CASE WHEN share >= 0.9 THEN 'concentrated' ELSE 'mode_dominated' END AS concentration, round(share, 6) AS mode_share, (SELECT count(*) FROM o, f WHERE v < a OR v > b) AS extreme_count, 0::BIGINT AS sentinels,
+ round(greatest(lo, least(0, a)), 6) AS lo, round(least(hi, greatest(0, b)), 6) AS hi
+FROM (SELECT avg((abs(v) <= 1e-9)::INT) AS share, min(v) AS lo, max(v) AS hi FROM v), f"""
+
+ANOMALOUS = """WITH p AS (SELECT p_brand, p_retailprice + CASE p_brand WHEN 'Brand#7' THEN 5000 WHEN 'Brand#3' THEN -4000 ELSE 0 END AS v FROM part),
+g AS (SELECT p_brand, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM p GROUP BY 1 HAVING count(*) >= 30),
+m AS (SELECT median(mean) AS mid, sqrt(sum((n - 1) * sd ** 2) / sum(n - 1)) AS pooled, count(*) AS k FROM g),
+d AS (SELECT median(abs(mean - mid)) AS mad FROM g, m),
+z AS (SELECT p_brand, n, (mean - mid) / (1.4826 * mad) AS z, (mean - mid) / pooled AS d FROM g, m, d WHERE k >= 5 AND mad > 0)
+SELECT p_brand AS brand, n, round(z, 4) AS robust_z, round(d, 4) AS diff_sd FROM z WHERE abs(z) >= 3 AND abs(d) >= 0.5 ORDER BY abs(z) DESC LIMIT 8"""
+
 ERRORS = f"""WITH b AS ({BANDED})
 SELECT * FROM (VALUES (0::BIGINT, 'bar', 0::BIGINT, NULL),
  (1, 'bar', 2, 'bar x column ''l_quantity'' must be categorical or boolean'),
@@ -342,5 +373,7 @@ SQL = {
     "sample_content": SAMPLE,
     "curve_shapes": SHAPES,
     "sentinel_verdicts": SENTINELS,
+    "mode_dominated": DOMINATED,
+    "anomalous_groups": ANOMALOUS,
     "own_gaps": GAPS,
 }
