@@ -18,6 +18,8 @@ from plumbline.operators.gaps import breaks
 from plumbline.operators.probes import Request, Result, run_probe
 from plumbline.operators.profiler import group_effects, profile_dataset
 from plumbline.operators.robust import quality_of
+from plumbline.plans.confidence import assess
+from plumbline.plans.intent import Context, classify, eligible
 from plumbline.plans.model import Spec
 from plumbline.plans.roles import in_order, role_of
 from plumbline.plans.spec import validate
@@ -182,6 +184,31 @@ def anomalous_groups(read):
     return df.sparkSession.createDataFrame([(a["group"], a["n"], a["robust_z"], a["diff_sd"]) for a in found], "brand string, n long, robust_z double, diff_sd double")
 
 
+def chart_confidence(read):
+    """How far charts of a column with missing and filled-in values are trusted."""
+    there = F.when(F.col("event_id") % 4 == 0, None)
+    df = sampling.exact_sample(read("events").select("event_type", there.when(F.col("event_id") % 97 == 0, 9999.0).otherwise(F.col("value")).alias("spiked"), there.otherwise(F.col("value")).alias("holey")))
+    profile = profile_dataset(df)
+    rows = []
+    for spec in (Spec("histogram", "spiked"), Spec("histogram", "holey"), Spec("bar", "event_type", "holey", aggregation="mean"), Spec("bar", "event_type", "spiked", aggregation="median")):
+        c, notes, cap = assess(spec, profile)
+        rows.append((spec.type, spec.y or spec.x, round(c["missingness"], 6), round(c["robustness"], 6), round(c["overall"], 6), cap, ",".join(sorted(n["code"] for n in notes))))
+    return df.sparkSession.createDataFrame(rows, "type string, number string, missingness double, robustness double, overall double, cap string, warnings string")
+
+
+def chart_intents(read):
+    """The question that pairs of columns ask, and the charts that may answer it."""
+    df = calendar(read)
+    profile = profile_dataset(df)
+    of = lambda n: role_of(profile.column(n)) if n else None
+    rows = []
+    for x, y, group in ((None, "price", None), ("status", "price", None), ("lot", "price", None), ("when_month", "price", None), ("month", "price", None), ("price", "price", None), ("when_day", "price", "term"), ("lot", "price", "term"), ("status", None, None)):
+        ctx = Context(rows=profile.profiled_rows, groups=profile.column(x).n_categories or 0 if x else 0, least_group=30, counting=y is None)
+        intent = classify(of(x), of(y), of(group), ctx)
+        rows.append((x, group, intent, ",".join(eligible(intent, of(x), ctx)) if intent else None))
+    return df.sparkSession.createDataFrame(rows, "x string, grouped string, intent string, charts string")
+
+
 def own_gaps(read):
     """Days before which the line of a priority breaks: longer than any step it takes again and again."""
     days = read("orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day")).distinct().orderBy("day").collect()
@@ -193,7 +220,7 @@ def own_gaps(read):
     return read("orders").sparkSession.createDataFrame(rows, "series string, day string")
 
 
-QUERIES = {f.__name__: f for f in (probe_verdicts, definitional_probes, bucket_verdicts, definitions, column_roles, display_orders, chart_errors, holm_rejections, sample_content, curve_shapes, sentinel_verdicts, mode_dominated, anomalous_groups, own_gaps)}
+QUERIES = {f.__name__: f for f in (probe_verdicts, definitional_probes, bucket_verdicts, definitions, column_roles, display_orders, chart_errors, holm_rejections, sample_content, curve_shapes, sentinel_verdicts, mode_dominated, anomalous_groups, chart_confidence, chart_intents, own_gaps)}
 
 # --- the rules as SQL -------------------------------------------------------------------
 
@@ -316,6 +343,24 @@ d AS (SELECT median(abs(mean - mid)) AS mad FROM g, m),
 z AS (SELECT p_brand, n, (mean - mid) / (1.4826 * mad) AS z, (mean - mid) / pooled AS d FROM g, m, d WHERE k >= 5 AND mad > 0)
 SELECT p_brand AS brand, n, round(z, 4) AS robust_z, round(d, 4) AS diff_sd FROM z WHERE abs(z) >= 3 AND abs(d) >= 0.5 ORDER BY abs(z) DESC LIMIT 8"""
 
+CONFIDENCE = """WITH v AS (SELECT CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 9999.0 ELSE value END AS s, CASE WHEN event_id % 4 <> 0 THEN value END AS h FROM events),
+q AS (SELECT quantile_cont(h, 0.25) AS a, quantile_cont(h, 0.75) AS b, count(h)::DOUBLE / count(*) AS share FROM v),
+far AS (SELECT count(*) FILTER (WHERE h < a - 3 * (b - a) OR h > b + 3 * (b - a))::DOUBLE / count(h) AS ratio FROM v, q),
+r AS (SELECT 1 - 0.5 * (1 - share) AS m, share, 1 - 0.2 * least(1, ratio / 0.1) AS e, ratio FROM q, far),
+t AS (SELECT * FROM r, (VALUES ('histogram', 'spiked', 0.6, 'secondary'), ('histogram', 'holey', NULL, NULL), ('bar', 'holey', NULL, NULL), ('bar', 'spiked', 0.85, NULL)) AS x(type, number, fixed, cap))
+SELECT type, number, round(m, 6) AS missingness, round(coalesce(fixed, e), 6) AS robustness, round(m * coalesce(fixed, e), 6) AS overall, cap,
+ concat_ws(',', CASE WHEN fixed IS NULL AND ratio > 0 THEN 'extreme_value' END, CASE WHEN 1 - share >= 0.2 THEN 'missing_data' END, CASE WHEN fixed IS NOT NULL THEN 'suspected_sentinel' END) AS warnings FROM t"""
+
+INTENTS = """SELECT * FROM (VALUES (NULL, NULL, 'distribution', 'histogram,box,violin'),
+ ('status', NULL, 'group_comparison', 'bar,dot_interval,box'),
+ ('lot', NULL, 'group_comparison', 'bar,dot_interval,box'),
+ ('when_month', NULL, 'cyclic_pattern', 'line,polar_line'),
+ ('month', NULL, 'cyclic_pattern', 'line,polar_line'),
+ ('price', NULL, 'numeric_relationship', (SELECT CASE WHEN count(*) > 2000 THEN 'hexbin,scatter' ELSE 'scatter,hexbin' END FROM orders)),
+ ('when_day', 'term', 'matrix_pattern', 'heatmap'),
+ ('lot', 'term', 'matrix_pattern', 'heatmap'),
+ ('status', NULL, NULL, NULL)) AS t(x, grouped, intent, charts)"""
+
 ERRORS = f"""WITH b AS ({BANDED})
 SELECT * FROM (VALUES (0::BIGINT, 'bar', 0::BIGINT, NULL),
  (1, 'bar', 2, 'bar x column ''l_quantity'' must be categorical or boolean'),
@@ -375,5 +420,7 @@ SQL = {
     "sentinel_verdicts": SENTINELS,
     "mode_dominated": DOMINATED,
     "anomalous_groups": ANOMALOUS,
+    "chart_confidence": CONFIDENCE,
+    "chart_intents": INTENTS,
     "own_gaps": GAPS,
 }

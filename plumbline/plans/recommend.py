@@ -33,10 +33,22 @@ CAPPED_Y = frozenset("bar lollipop box violin raincloud ridgeline dot_interval p
 CAPPED_X = CAPPED_Y - {"dumbbell", "slopegraph"}
 RATE_NAME = re.compile(r"(^|_)(pct|percent|percentage|ratio|rate|share|avg|average|mean|median|per)($|_)", re.I)
 # Pairs of words that name the two ends of a flow.
-FLOWS = frozenset(
-    tuple(p.split())
-    for p in "source target|src dst|src dest|from to|origin destination|origin dest|orig dest|start end|prev next|previous next|before after|old new|parent child|sender receiver".split("|")
-)
+FLOWS = [
+    ("source", "target"),
+    ("src", "dst"),
+    ("src", "dest"),
+    ("from", "to"),
+    ("origin", "destination"),
+    ("origin", "dest"),
+    ("orig", "dest"),
+    ("start", "end"),
+    ("prev", "next"),
+    ("previous", "next"),
+    ("before", "after"),
+    ("old", "new"),
+    ("parent", "child"),
+    ("sender", "receiver"),
+]
 
 
 def either(a: bool | None, b: bool | None) -> bool | None:
