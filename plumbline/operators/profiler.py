@@ -7,6 +7,7 @@ columns; evidence is taken of the sample's columns in memory.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from plumbline.functions.exprs import finite
 from plumbline.operators import curves, dependence, profile, robust, typing
 from plumbline.operators.bounded import Rows, quantile, spread
 from plumbline.operators.sampling import PROFILE_ROWS, exact_sample
+from plumbline.operators.whole import Whole
 from plumbline.plans.model import Column, Profile, Quality
 
 CATS, CAT_LEVELS = 15, (2, 20)
@@ -129,6 +131,36 @@ def _count_quality(raw: DataFrame, casted: DataFrame, out: dict[str, Column], nu
         q.missing, q.tokens, q.invalid, q.valid_ratio = x["missing"], x["tokens"], x["invalid"], x["valid"]
 
 
+def of_all_rows(df: DataFrame, sampled: Profile) -> Profile:
+    """The sample's profile with what confidence and probes ask of it counted over all rows of ``df``.
+
+    Quality, categories, correlations and group effects are of all rows; types, casts, distinct
+    values and definitions stay those of the sample, and other evidence is left out.
+    """
+    casted = typing.apply_casts(df, {c.name: c.cast for c in sampled.columns})
+    columns = {c.name: replace(c) for c in sampled.columns}
+    nums = [c for c in columns if columns[c].semantic == "numeric"]
+    cats = [c for c in columns if columns[c].semantic in ("categorical", "boolean")]
+    for c in nums:
+        columns[c].quality = Quality(**(robust.quality_of_table(casted, c) or {}))
+    if nums:
+        _count_quality(df, casted, columns, nums)
+    if cats:
+        top = sorted(profile.top_categories(casted, cats).collect(), key=lambda r: (-r["n"], r["value"]))
+        lists = {r["column"]: r for r in profile.category_lists(casted, cats).collect()}
+        for c in cats:
+            columns[c].top_values = [(r["value"], r["n"]) for r in top if r["column"] == c]
+            if c in lists:
+                columns[c].n_categories, columns[c].labels = lists[c]["n_categories"], lists[c]["labels"]
+    out = Profile(sampled.dataset_id, sampled.n_rows, sampled.n_rows, list(columns.values()))
+    held = Whole.of(casted, nums, [c.name for c in eligible(out.columns)])
+    if len(nums) >= 2:
+        out.pearson = held.pearson(nums[:MATRIX])
+    out.evidence = {k: sampled.evidence[k] for k in ("derived", "near_duplicates")}
+    out.evidence["cat_num"] = group_effects(held.moments(held.cats, nums[:MATRIX])) if held.cats and nums else []
+    return out
+
+
 # --- evidence ------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ import pytest
 from test_catalogue import rows
 
 from plumbline import catalogue
+from plumbline.operators.bounded import Rows
 from plumbline.operators.robust import quality_of, quality_of_table
+from plumbline.operators.whole import Whole
 
 SF = "/root/testdata/sf0.01"
 #: Copies of each table with shifted keys: over 100 000 rows, on which the shares of a sample differ from those of the table.
@@ -23,7 +25,7 @@ def grown(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["mode_dominated"])
+@pytest.mark.parametrize("name", ["mode_dominated", "probe_verdicts"])
 def test_query_on_more_rows_than_a_sample_has(spark, grown, name):
     folder, con = grown
     df = catalogue.queries()[name](spark, str(folder))
@@ -58,3 +60,23 @@ def test_quality_of_a_table_is_that_of_its_values(spark, kind):
 
 def test_quality_of_a_table_without_values(spark):
     assert quality_of_table(spark.createDataFrame([(None,)] * 9, "v double"), "v") is None
+
+
+def test_reductions_of_a_table_are_those_of_its_rows(spark):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    x, y, a, b = "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"
+    some, every = Rows.of(df, [x, y], [a, b]), Whole.of(df, [x, y], [a, b])
+    tables = [
+        (some.moments(some.cats, [x, y]), every.moments(every.cats, [x, y])),
+        (some.group_table(a, y), every.group_table(a, y)),
+        (some.group_correlations(a, [(x, y)]), every.group_correlations(a, [(x, y)])),
+        (some.cells(some.cats[a], some.cats[b], y), every.cells(every.cats[a], every.cats[b], y)),
+        (some.curve_bins(x, [y], 10)[y], every.curve_bins(x, [y], 10)[y]),
+        (some.distances(a, y, 30, 8), every.distances(a, y, 30, 8)),
+    ]
+    for want, got in tables:
+        key = lambda r: str([v for v in r.values() if isinstance(v, str | int)])
+        assert len(want) == len(got)
+        for w, g in zip(sorted(want, key=lambda r: key(dict(sorted(r.items())))), sorted(got, key=lambda r: key(dict(sorted(r.items()))))):
+            assert w.keys() == g.keys() and all(near(g[k], w[k]) for k in w)
+    assert every.pearson([x, y])[x, y] == pytest.approx(some.pearson([x, y])[x, y])
