@@ -2,6 +2,7 @@ import os
 import threading
 from pathlib import Path
 
+from plumbline.sources import scratch
 from plumbline.sources.scratch import materialize
 
 
@@ -41,3 +42,17 @@ def test_tables_of_one_name_stay_apart_and_every_session_reads_them(spark):
     first, second, none = (materialize(spark.range(n), "same") for n in (3, 5, 0))
     assert (first.count(), second.count(), none.count()) == (3, 5, 0)
     assert spark.newSession().read.parquet(first.inputFiles()[0].rpartition("/")[0]).count() == 3
+
+
+def test_every_table_gives_freed_native_memory_back(spark, monkeypatch):
+    said, trim = [], scratch.trim
+    monkeypatch.setattr(scratch, "trim", lambda s: said.append(trim(s)))
+    materialize(spark.range(3), "one")
+    materialize(spark.range(3), "two")
+    assert len(said) == 2 and all(x.startswith("Trim native heap") for x in said)
+
+
+def test_a_jvm_without_the_command_keeps_its_memory(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "COMMAND", "noSuchCommand")
+    assert scratch.trim(spark) == ""
+    assert materialize(spark.range(3), "kept").count() == 3
