@@ -56,3 +56,24 @@ def test_a_jvm_without_the_command_keeps_its_memory(spark, monkeypatch):
     monkeypatch.setattr(scratch, "COMMAND", "noSuchCommand")
     assert scratch.trim(spark) == ""
     assert materialize(spark.range(3), "kept").count() == 3
+
+
+def test_a_heap_that_has_grown_is_collected_and_given_back(spark):
+    factory = spark._jvm.java.lang.management.ManagementFactory
+    heap = lambda: factory.getMemoryMXBean().getHeapMemoryUsage()
+    full = lambda: sum(b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    most = heap().getMax()
+    held = [spark._jvm.java.lang.StringBuilder() for _ in range(10)]
+    for x in held:
+        x.ensureCapacity(most // 16)
+    assert 2 * heap().getCommitted() > most
+    before = full()
+    materialize(spark.range(3), "grown")
+    assert full() > before
+    for x in held:
+        x.trimToSize()
+    assert scratch.shrink(spark)
+    assert 2 * heap().getCommitted() < most
+    before = full()
+    assert materialize(spark.range(3), "small").count() == 3
+    assert full() == before
